@@ -30,7 +30,9 @@ from lattica.llm.common import small_batches
 from lattica.llm.pretokens import CUT, plain
 
 #: Entries of a worker's tables, and the longest word that is kept.
-KEPT, KEPT_CHARS = 250_000, 40
+KEPT, KEPT_CHARS = 600_000, 40
+#: Stands for no token before the first; ids are smaller.
+NONE = (1 << 17) - 1
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -81,23 +83,21 @@ class Codec:
         usable = {self.text_of[i]: i for i in ids.values() if len(self.text_of[i]) == 1 or i in self.made}
         self.single = [usable[chr(b)] for b in range(256)]
         self.id_of = usable
-        self.longest = max(map(len, usable))
         self.automaton = ahocorasick.Automaton()
         for t, i in usable.items():
-            self.automaton.add_word(t, i)
+            self.automaton.add_word(t, (len(t) - 1, i))
         self.automaton.make_automaton()
-        # the next shorter token with which a token starts
-        self.shorter: dict[int, int] = {}
+        # the next shorter token with which a token starts, or -1
+        self.size = [len(x) for x in self.text_of]
+        self.shorter = [-1] * size
         for t, i in usable.items():
-            for n in range(len(t) - 1, 0, -1):
-                if (j := usable.get(t[:n])) is not None:
-                    self.shorter[i] = j
-                    break
-        self.fits: dict[tuple[int, int], bool] = {}  # pair-compatibility table, filled as pairs come up
+            self.shorter[i] = next((j for n in range(len(t) - 1, 0, -1) if (j := usable.get(t[:n])) is not None), -1)
+        self.fits: dict[int, bool] = {}  # pair-compatibility table, filled as pairs come up
         from tokenizers import pre_tokenizers
 
         self.lib_cut = pre_tokenizers.ByteLevel(add_prefix_space=False)
-        self.words: dict[str, tuple[bytes, str]] = {}  # ids of a word in binary, and in decimal, each with a comma after it
+        self.binary_of: dict[str, bytes] = {}  # ids of a known word in binary
+        self.decimal_of: dict[str, str] = {}  # and in decimal, each with a comma after it
 
     def merged(self, data: str) -> list[int]:
         """Merges by rank, step by step: for the table's entries only, which are short."""
@@ -119,85 +119,79 @@ class Codec:
         return seq
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether merging the joint bytes of two tokens gives just these two."""
-        if (known := self.fits.get((a, b))) is None:
-            if len(self.fits) > 4 * KEPT:
-                self.fits.clear()
-            known = self.fits[a, b] = self.merged(self.text_of[a] + self.text_of[b]) == [a, b]
+        """Whether merging the joint bytes of two tokens gives just these two; a = NONE: whether b's bytes merge to b."""
+        if len(self.fits) > 4 * KEPT:
+            self.fits.clear()
+        if a == NONE:
+            known = self.merged(self.text_of[b]) == [b]
+        else:
+            known = self.merged(self.text_of[a] + self.text_of[b]) == [a, b]
+        self.fits[a << 17 | b] = known
         return known
 
     def encode_word(self, data: bytes) -> list[int]:
         """Tokens of one pre-token's bytes."""
         text, n = data.decode("latin-1"), len(data)
-        if (whole := self.id_of.get(text)) is not None and self.compatible_alone(whole):
-            return [whole]
-        longest = self.single_matches(text)
+        # the longest token that starts at each position: matches come by where they end, so a later one is longer
+        longest = [0] * n
+        for end, (back, token) in self.automaton.iter(text):
+            longest[end - back] = token
+        fits, shorter, size = self.fits, self.shorter, self.size
         out: list[int] = []
-        starts: list[int] = []
         dead = bytearray(n + 1)  # positions from which the rest can't be covered
-        pos, token = 0, longest[0]
-        lengths = self.text_of
+        pos, token, prev = 0, longest[0], NONE
         while pos < n:
-            prev = out[-1] if out else None
-            while token is not None:
-                end = pos + len(lengths[token])
-                if not dead[end] and (prev is None and self.compatible_alone(token) or prev is not None and self.compatible(prev, token)):
-                    break
-                token = self.shorter.get(token)
-            if token is not None:
+            while token >= 0:
+                end = pos + size[token]
+                if not dead[end]:
+                    ok = fits.get(prev << 17 | token)
+                    if self.compatible(prev, token) if ok is None else ok:
+                        break
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                starts.append(pos)
-                pos = end
-                token = longest[pos] if pos < n else None
+                pos, prev = end, token
+                if pos < n:
+                    token = longest[pos]
             else:
                 dead[pos] = 1
-                token = self.shorter.get(out.pop())
-                pos = starts.pop()
-        return out
-
-    def compatible_alone(self, token: int) -> bool:
-        """Whether a token's bytes merge to the token itself."""
-        if (known := self.fits.get((token, -1))) is None:
-            known = self.fits[token, -1] = self.merged(self.text_of[token]) == [token]
-        return known
-
-    def single_matches(self, text: str) -> list[int]:
-        """The longest token that starts at each position."""
-        out = [self.single[ord(c)] for c in text]
-        lengths = [1] * len(text)
-        # the automaton reports the longest match that ends at each position and, by iter(), all shorter ones
-        for end, token in self.automaton.iter(text):
-            size = len(self.text_of[token])
-            start = end - size + 1
-            if size > lengths[start]:
-                lengths[start], out[start] = size, token
+                last = out.pop()
+                pos -= size[last]
+                token, prev = shorter[last], out[-1] if out else NONE
         return out
 
     def cut(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens; where Unicode versions may differ, the library's own cut."""
         return CUT.findall(text) if plain(text) else [text[a:b] for _, (a, b) in self.lib_cut.pre_tokenize_str(text)]
 
+    def learn(self, words: set[str]) -> None:
+        """Put words into the two tables of known words."""
+        decimal = self.decimal
+        for word in words:
+            ids = self.encode_word(word.encode())
+            self.binary_of[word] = array("i", ids).tobytes()
+            self.decimal_of[word] = "".join([decimal[i] for i in ids])
+
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """Ids as an array, and as decimal numbers joined by commas."""
         binary: list[bytes] = []
         decimal: list[str] = []
-        known = self.words
         for part in self.special_re.split(text) if self.special_re else [text]:
             if part in self.special:
                 binary.append(np.int32(self.special[part]).tobytes())
-                decimal.append(f"{self.special[part]},")
-                continue
-            for word in self.cut(part) if part else []:
-                got = known.get(word)
-                if got is None:
-                    ids = self.encode_word(word.encode())
-                    got = (array("i", ids).tobytes(), "".join([self.decimal[i] for i in ids]))
-                    if len(word) <= KEPT_CHARS:
-                        if len(known) >= KEPT:
-                            known.clear()
-                        known[word] = got
-                binary.append(got[0])
-                decimal.append(got[1])
+                decimal.append(self.decimal[self.special[part]])
+            elif part:
+                words = self.cut(part)
+                new = set(words).difference(self.binary_of)
+                self.learn(new)
+                binary += map(self.binary_of.__getitem__, words)
+                decimal += map(self.decimal_of.__getitem__, words)
+                for word in new:
+                    if len(word) > KEPT_CHARS:
+                        del self.binary_of[word], self.decimal_of[word]
+                if len(self.binary_of) > KEPT:
+                    self.binary_of.clear()
+                    self.decimal_of.clear()
         return np.frombuffer(b"".join(binary), np.int32), "".join(decimal)[:-1]
 
     def decode(self, ids: np.ndarray) -> str:
