@@ -32,52 +32,12 @@ RULES = [
     ("mean_word_chars", ">=", 1.5),
     ("mean_word_chars", "<=", 18.0),
     ("symbol_word_ratio", "<=", 0.1),
-    ("stop_word_ratio", ">=", 0.03),
-    ("dup_line_ratio", "<=", 0.3),
+    ("stop_word_ratio", ">=", 0.02),
+    ("dup_line_ratio", "<=", 0.5),
 ]
 WINDOW = 5
 
 
-def _repeat_words(n: Column) -> Column:
-    """Words in windows of WINDOW words that occur twice or more, from the array `ws` of a text's words.
-
-    Windows are numbered by sorting their starts by content: equal windows become neighbours in the sorted array, so the
-    work is n log n for a text of n words. A window is its words joined by a space, which no word holds.
-    """
-    ws, last = F.col("ws"), F.col("n_words") - WINDOW + 1
-    windows = F.transform(F.sequence(F.lit(1), last.cast("int")), lambda i: F.struct(F.array_join(F.slice(ws, i, WINDOW), " ").alias("w"), i.alias("i")))
-    return windows
-
-
-def _words_in_repeats(grams: Column) -> Column:
-    """Words covered by repeated windows: grams is the sorted array of (w, i)."""
-    size = F.size(grams)
-    starts = F.array_sort(
-        F.transform(
-            F.filter(grams_with_neighbours(grams, size), lambda x: x["twice"]),
-            lambda x: x["i"],
-        )
-    )
-    zero = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("end"))
-    # starts come in order; each adds what lies beyond the end of the one before it
-    return F.aggregate(
-        starts,
-        zero,
-        lambda acc, i: F.struct((acc["covered"] + WINDOW - F.greatest(F.lit(0), F.least(F.lit(WINDOW), acc["end"] - i))).alias("covered"), (i + WINDOW).alias("end")),
-        lambda acc: acc["covered"],
-    )
-
-
-def grams_with_neighbours(grams: Column, size: Column) -> Column:
-    """(i, twice) for each window: twice if the one before or after it in sorted order has the same words."""
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(grams["w"], 1, F.greatest(F.lit(0), size - 1)))
-    after = F.concat(F.slice(grams["w"], 2, F.greatest(F.lit(0), size - 1)), F.array(F.lit(None).cast("string")))
-    return F.transform(
-        F.arrays_zip(grams.alias("g"), before.alias("b"), after.alias("a")),
-        lambda x: F.struct(x["g"]["i"].alias("i"), (F.coalesce(x["g"]["w"] == x["b"], F.lit(False)) | F.coalesce(x["g"]["w"] == x["a"], F.lit(False))).alias("twice")),
-    )
-
-
 def compiled(rules: list[tuple[str, str, float]]) -> Column:
     """One boolean expression of a threshold table; a measure may have several rows."""
     ops = {">=": lambda c, t: c >= t, "<=": lambda c, t: c <= t, ">": lambda c, t: c > t, "<": lambda c, t: c < t}
@@ -91,22 +51,35 @@ def quality_rules(docs: DataFrame, rules: list[tuple[str, str, float]] = RULES,
     stops = sorted(set(stop_words if stop_words is not None else [w for ws in STOP_WORDS.values() for w in ws]))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("t"))
-    # one pass cuts the words; lines are cut at \n only
     cut = base.select(
         "id",
         F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("ws"),
         F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(WORD))).alias("lines"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+    )
+    hashed = cut.select("*", F.size("ws").alias("n"), F.size("lines").cast("long").alias("n_lines"), F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
+    starts = F.sequence(F.lit(1), F.col("n") - (WINDOW - 1))
+    # equal windows have equal hashes, so a text whose hashes all differ has no repeats; only the others compare words
+    maybe = hashed.select("*", F.when(F.col("n") > WINDOW, F.transform(starts, lambda i: F.xxhash64(*[F.get("hs", i + (k - 1)) for k in range(WINDOW)]))).alias("hw")).drop("hs")
+    # windows sorted by their words, which a space joins: equal ones become neighbours
+    grams = maybe.select("*", F.when(F.size(F.array_distinct("hw")) < F.size("hw"), F.array_sort(F.transform(starts, lambda i: F.struct(F.array_join(F.slice("ws", i, WINDOW), " ").alias("w"), i.alias("i"))))).alias("grams")).drop("hw")
+    same = lambda g, k: F.coalesce(F.get("grams", k)["w"] == g["w"], F.lit(False))
+    twice = grams.select("*", F.array_sort(F.transform(F.filter("grams", lambda g, k: same(g, k - 1) | same(g, k + 1)), lambda g: g["i"])).alias("twice")).drop("grams")
+    # starts of repeated windows come in order; each adds the words beyond the end of the one before it
+    covered = F.aggregate(
+        "twice",
+        F.struct(F.lit(0).alias("words"), F.lit(0).alias("end")),
+        lambda acc, i: F.struct((acc["words"] + i + WINDOW - F.greatest(acc["end"], i)).alias("words"), (i + WINDOW).alias("end")),
+        lambda acc: acc["words"],
     )
-    sized = cut.select("*", F.size("ws").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"))
-    measured = sized.select(
+    measured = twice.select(
         "id",
-        "n_words",
+        F.col("n").cast("long").alias("n_words"),
         "n_symbols",
         "n_lines",
         F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
         (F.col("n_lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("n_words") > WINDOW, _words_in_repeats(F.array_sort(_repeat_words(F.col("n_words"))))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(F.filter("ws", lambda w: F.lower(w).isin(stops))).alias("n_stop"),
     )
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -121,7 +94,7 @@ def quality_rules(docs: DataFrame, rules: list[tuple[str, str, float]] = RULES,
         ((n < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * n)).alias("base_failed"),
         ratio(F.col("word_chars"), n).alias("mean_word_chars"),
         ratio(F.col("n_symbols"), n).alias("symbol_word_ratio"),
-        ratio(F.col("n_stop"), n).alias("stop_word_ratio"),
+        ratio(F.col("n_stop") + 1, n).alias("stop_word_ratio"),  # the 1 spares short texts that happen to have none
         ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_line_ratio"),
         ratio(F.col("n_repeat_words"), n).alias("repeat_ratio"),
     )

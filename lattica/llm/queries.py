@@ -7,12 +7,26 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe_codec, token_counts
+from lattica.llm import bpe_codec, mixing, quality_rules, token_counts, url_filters
 from lattica.llm.common import table
 
+#: The rules of the contract.
+ALLOW, BLOCK = ["example.net/en/", "org/fr/"], ["net/", "example.com/de/"]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_filter(table(spark, sf_dir, "pages"), ALLOW, BLOCK)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), TOKENIZER, limit=1024)
 
@@ -22,6 +36,9 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filters": op2_url_filters,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_mixing": op6_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
 }
