@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe_codec, mixing, quality_rules, token_counts, url_filters
+from lattica.llm import bpe_codec, language_id, mixing, quality_rules, token_counts, url_filters, va_search
 from lattica.llm.common import table
 
 #: The rules of the contract.
@@ -15,6 +15,11 @@ ALLOW, BLOCK = ["example.net/en/", "org/fr/"], ["net/", "example.com/de/"]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_va_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return va_search.va_search(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages"), ALLOW, BLOCK)
 
@@ -27,6 +32,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), TOKENIZER, limit=1024)
 
@@ -36,9 +45,11 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_va_search": op1_va_search,
     "op2_url_filters": op2_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op6_mixing": op6_mixing,
+    "op7_language_id": op7_language_id,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
 }
