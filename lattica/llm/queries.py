@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe_codec, language_id, mixing, quality_rules, token_counts, url_filters, va_search
+from lattica.llm import bpe_codec, html_text, language_id, mixing, quality_rules, token_counts, url_filters, va_search
 from lattica.llm.common import table
 
 #: The rules of the contract.
@@ -28,6 +28,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_va_search": op1_va_search,
     "op2_url_filters": op2_url_filters,
     "op4_quality_rules": op4_quality_rules,
+    "op5_html_text": op5_html_text,
     "op6_mixing": op6_mixing,
     "op7_language_id": op7_language_id,
     "op8_token_counts": op8_token_counts,
