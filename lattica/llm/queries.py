@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe_codec, html_text, language_id, mixing, quality_rules, token_counts, url_filters, va_search
+from lattica.llm import bpe_codec, html_text, language_id, minhash_dedup, mixing, quality_rules, token_counts, url_filters, va_search
 from lattica.llm.common import table
 
 #: The rules of the contract.
@@ -24,6 +24,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages"), ALLOW, BLOCK)
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_va_search": op1_va_search,
     "op2_url_filters": op2_url_filters,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_html_text": op5_html_text,
     "op6_mixing": op6_mixing,
