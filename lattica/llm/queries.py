@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import bpe_codec, html_text, language_id, minhash_dedup, mixing, quality_rules, token_counts, url_filters, va_search
+from lattica.llm import bpe_codec, html_text, language_id, minhash_dedup, mixing, quality_rules, suffix_dedup, token_counts, url_filters, va_search
 from lattica.llm.common import table
 
 #: The rules of the contract.
@@ -52,6 +52,10 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), TOKENIZER, keep=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_removed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_va_search": op1_va_search,
     "op2_url_filters": op2_url_filters,
@@ -62,5 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}
