@@ -129,8 +129,10 @@ def predicted(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col
     """`id_col`, the columns of `extra`, lang_pred and score of every row."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    # scoring sees the text alone; the id and the columns of `extra` pass by
-    rows = docs.select(F.col(text_col).cast("string").alias("text_in"), F.col(id_col).alias("id_in"), *(F.col(c).alias(f"own_{c}") for c in extra))
+    # scoring sees the text alone; the id and the columns of `extra` pass by, the text itself, if it is one, only once
+    others = [c for c in extra if c != text_col]
+    rows = docs.select(F.col(text_col).cast("string").alias("text_in"), F.col(id_col).alias("id_in"), *(F.col(c).alias(f"own_{c}") for c in others))
+    first = 0 if text_col in extra else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,10 +142,10 @@ def predicted(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col
                 x, y = shared.value.predict(b.column(0).slice(at, 128).to_pylist(), sharpness)
                 langs += x
                 scores += y
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[1:], "new_lang", "new_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[first:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[first:], "new_lang", "new_score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "new_lang string, new_score double"])
-    return rows.mapInArrow(run, schema).select(F.col("id_in").alias(id_col), *(F.col(f"own_{c}").alias(c) for c in extra), F.col("new_lang").alias("lang_pred"), F.col("new_score").alias("score"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[first:]), "new_lang string, new_score double"])
+    return rows.mapInArrow(run, schema).select(F.col("id_in").alias(id_col), *(F.col("text_in" if c == text_col else f"own_{c}").alias(c) for c in extra), F.col("new_lang").alias("lang_pred"), F.col("new_score").alias("score"))
 
 
 def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:

@@ -87,10 +87,10 @@ def half_keys(s: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), cls (128-bit hash of the set; null if empty) and halves of every row."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, extra: tuple[str, ...]) -> DataFrame:
+    """id, the columns of `extra` (own_...), n (set size), cls (128-bit hash of the set; null if empty), halves of every row."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), *(F.col(c).alias(f"own_{c}") for c in extra))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,10 +100,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 halves.append(half_keys(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(halves, pa.list_(pa.int64()))], ["id", "n", "cls", "halves"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(halves, pa.list_(pa.int64()))], [*b.schema.names[1:], "n", "cls", "halves"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n long, cls binary, halves array<long>")
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, f"{own}, n long, cls binary, halves array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -174,11 +174,11 @@ def _links(compared: DataFrame, percent: int) -> DataFrame:
     return compared.filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both")))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """`id_col`, n_shingles, component_id (the least id that the document reaches), kept (whether it is its own), and
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, extra: tuple[str, ...] = ()) -> DataFrame:
+    """`id_col`, the columns of `extra`, n_shingles, component_id (the least id that the document reaches), kept (whether it is its own), and
     class_id (of equal sets; null for empty ones) of every row."""
     small_batches(docs.sparkSession)
-    sig = written(signatures(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    sig = written(signatures(docs, id_col, text_col, extra).withColumn("row", F.monotonically_increasing_id()), "signatures")
     classes = sig.filter("cls is not null").groupBy("cls").agg(F.min("row").alias("v"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     classes = written(classes, "classes")
 
@@ -257,6 +257,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # every class's component, and its least id
     placed = classes.select("cls", "v", "id").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     named = placed.join(placed.groupBy("comp").agg(F.min("id").alias("component_id")), "comp").select("cls", F.col("v").alias("class_id"), "component_id")
-    out = sig.select("id", "n", "cls").join(named, "cls", "left")
+    out = sig.select("id", "n", "cls", *(f"own_{c}" for c in extra)).join(named, "cls", "left")
     own = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.col("id").isNull() & own.isNull()).alias("kept"), "class_id")
+    return out.select(F.col("id").alias(id_col), *(F.col(f"own_{c}").alias(c) for c in extra), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.col("id").isNull() & own.isNull()).alias("kept"), "class_id")

@@ -1,8 +1,8 @@
 r"""Operator 6: mixing sources to target weights, by a time-varying curriculum.
 
-Each source has a weight schedule: piecewise linear in the share of the mix that is done. Its integral, times the words of
-the mix, is the source's cumulative word demand; the k-th document of the source, whose words span an interval of that
-demand, gets its training position by inverting the curve there. Documents are then range-sorted by position. Constant
+Each source has a weight schedule: piecewise linear in the share of the mix that is done. Its integral, times the source's
+target, is the source's cumulative word demand; each document of the source, whose words span an interval of that demand,
+gets its training position by inverting the curve there. Documents are then range-sorted by position. Constant
 schedules are the special case of straight lines.
 
 How often a document is taken: the source's target t over its size s is the rate, at most 2. Laid end to end in a fixed
@@ -91,9 +91,11 @@ def mixed(
     schedule: dict[int, list[tuple[float, float]]] | None = None,
     bucket_rows: int = BUCKET_ROWS,
     extra: tuple[str, ...] = (),
+    copies: bool = False,
 ) -> DataFrame:
     """`id_col`, the columns of `extra`, size, source_size, target, taken (words, repeats counted) and position (0 to 1,
-    when the document comes in training; null if nothing is taken), range-sorted by position.
+    when the document comes in training; null if nothing is taken), range-sorted by position. With copies, one row for each
+    time that a document is taken instead, with `words` (fewer than its size if it is taken in part) and its own position.
 
     schedule: for a place in the repeating weights, its (time, relative weight) points from time 0 to 1; by default the
     heaviest sources come early and the lightest late. Weights over the whole time keep the ratios of `weights`.
@@ -114,7 +116,7 @@ def mixed(
     counted = narrow.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n"))
     by_source = sorted(((r.source, int(r.s), int(r.n)) for r in counted.collect()), key=lambda r: (r[0] is None, [ord(c) for c in r[0] or ""]))
     if not by_source:
-        return rows.select(F.col("id").alias(id_col), *(F.col(f"own_{c}").alias(c) for c in extra), "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.lit(None).cast("double").alias("position"))
+        return rows.select(F.col("id").alias(id_col), *(F.col(f"own_{c}").alias(c) for c in extra), "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.lit(None).cast("double").alias("position"), *([F.lit(0).cast("long").alias("words")] if copies else []))
     targets = shared_out([s for _, s, _ in by_source], [weights[i % len(weights)] for i in range(len(by_source))], total, most)
     spark = docs.sparkSession
     table = spark.createDataFrame(
@@ -139,10 +141,15 @@ def mixed(
     placed = placed.join(before, placed["source"].eqNullSafe(before["b_source"]) & (placed["bucket"] == before["b_bucket"])).withColumn("at", F.col("base") + F.col("within"))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("at")))
     taken = F.when(F.col("rounds") >= most, F.col("size") * most).otherwise(F.col("rounds") * F.col("size") + last)
-    share = F.when(F.col("source_size") > 0, (F.col("at") + F.col("size") / 2) / F.col("source_size"))
+    placed = placed.withColumn("taken", taken.cast("long")).withColumn("round", F.lit(0))
+    if copies:
+        placed = placed.filter("taken > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
+    words = F.least("size", F.col("taken") - F.col("round") * F.col("size"))
+    # the middle of the words in the source's demand
+    share = F.when(F.col("taken") > 0, F.least(F.lit(1.0), (F.col("round") * F.col("source_size") + F.col("at") + words / 2) / F.col("target")))
     position = F.lit(None).cast("double")
     for k in range(len(weights)):
         position = F.when(F.col("place") == k, inverted(schedule[k], share)).otherwise(position)
-    out = placed.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, position))
-    out = out.select(F.col("id").alias(id_col), *(F.col(f"own_{c}").alias(c) for c in extra), "size", "source_size", "target", "taken", "position")
+    out = placed.withColumn("position", F.when(F.col("taken") > 0, position))
+    out = out.select(F.col("id").alias(id_col), *(F.col(f"own_{c}").alias(c) for c in extra), "size", "source_size", "target", "taken", "position", *([words.cast("long").alias("words")] if copies else []))
     return out.repartitionByRange(F.col("position"), F.col(id_col)).sortWithinPartitions("position", id_col)
