@@ -5,12 +5,14 @@ Texts become sets of 5-word shingles; equal sets are one class, and classes are
 key, so 2 * SIDE * 2 minhashes serve SIDE * SIDE tables. Half keys that only one class has make no table keys.
 
 In each bucket of a table, the class whose half keys are the most common is the leader, and every member is compared with
-it on full sets: the star's links. Connected components of these links settle nearly all members. What a star can't see
-are links between members of which one isn't linked to the leader; for them, exact bounds come first. With b the leader,
-i = |x & b| and s the members of x outside b that some other member of the star has, |x & y| is at most i + s; and Jaccard
-distances obey the triangle inequality. Pairs of different components in one bucket that pass both bounds are compared
-on full sets as well, each once. So no bucket is expanded into pairs, none is capped, and a large group of near copies
-costs a few comparisons a member. At similarity 0.75 a pair shares a table with probability 0.9999.
+it: the star's links. Connected components of these links settle nearly all members. What a star can't see are links
+between members of which one isn't linked to the leader; so members outside the leader's component meet those of other
+components in their bucket as well, each pair once, in the first table that it shares.
+
+Before full sets are compared, odd sketches rule pairs out, without error: a bit of a sketch is the parity of the members
+that hash to it, so the bits in which two sketches differ number at most the members in which the sets differ. So no bucket
+is expanded into pairs, none is capped, and a large group of near copies costs few comparisons of sets a member. At
+similarity 0.75 a pair shares a table with probability 0.9999; links that are found are confirmed on full sets.
 
 Defined cases: a null or blank text has an empty set, size 0, and is linked with nothing; a text of fewer than 5 words
 has the whole sequence as its one shingle; equal sets are linked; repeated rows stay rows of their own (with the same id
@@ -26,17 +28,15 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import small_batches, written
 
 #: Half keys of each collection, minhashes of a half key, words of a shingle, percent of the union that links.
 SIDE, ROWS, SHINGLE, PERCENT = 12, 2, 5, 75
-#: Half keys that two classes must share before full sets are compared: at similarity 0.75 they share fewer with p = 1e-5.
-LEAST_SHARED = 4
-#: Below this similarity to a leader the elements beside it are not listed; the bound is then the class's size.
-LISTED_FROM = 0.35
+#: Words of 64 bits in an odd sketch.
+SKETCH = 16
 #: Most class ids (8 bytes each) that are broadcast to pick rows; beyond it they are joined.
 BROADCAST_IDS = 1_000_000
 #: Words whose hashes a Python worker keeps.
@@ -87,23 +87,32 @@ def half_keys(s: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the members of a set that hash to each of 64 * SKETCH bits, as SKETCH longs."""
+    at = (s.view(np.uint64) * _M1) >> np.uint64(64 - (64 * SKETCH - 1).bit_length())
+    odd = np.bincount(at.astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, extra: tuple[str, ...]) -> DataFrame:
-    """id, the columns of `extra` (own_...), n (set size), cls (128-bit hash of the set; null if empty), halves of every row."""
+    """id, the columns of `extra` (own_...), n (set size), cls (128-bit hash of the set; null if empty), halves and sketch
+    of every row."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), *(F.col(c).alias(f"own_{c}") for c in extra))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, cls, halves = [], [], []
+            n, cls, halves, sketch = [], [], [], []
             for t in b.column(0):
                 s = shingles(t.as_py())
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 halves.append(half_keys(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(halves, pa.list_(pa.int64()))], [*b.schema.names[1:], "n", "cls", "halves"])
+                sketch.append(odd_sketch(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (halves, sketch))], [*b.schema.names[1:], "n", "cls", "halves", "sketch"])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{own}, n long, cls binary, halves array<long>")
+    return rows.mapInArrow(run, f"{own}, n long, cls binary, halves array<long>, sketch array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -127,27 +136,32 @@ def components(edges: DataFrame) -> DataFrame:
         e = written(small.filter("u <> v").distinct(), "edges")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b of pairs with n_a, n_b, both (|a & b|) and beside: the hashes of b outside a (null where not listed)."""
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            both, beside, sizes = [], [], ([], [])
+            hit = []
             for x, y in zip(t.column(2), t.column(3), strict=True):
                 x, y = (np.asarray(v.values) for v in (x, y))
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
-                hit = x[at] == y
-                n = int(hit.sum())
-                both.append(n)
-                sizes[0].append(len(x))
-                sizes[1].append(len(y))
-                beside.append(y[~hit] if n >= LISTED_FROM * (len(x) + len(y) - n) else None)
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), *(pa.array(v, pa.int64()) for v in (*sizes, both)), pa.array(beside, pa.list_(pa.int64()))], ["a", "b", "n_a", "n_b", "both", "beside"])
+                both = int((x[at] == y).sum())
+                hit.append(100 * both >= percent * (len(x) + len(y) - both))
+            hit = pa.array(hit, pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column(0).filter(hit), t.column(1).filter(hit)], ["a", "b"])
 
     one = pairs.join(sets.select(F.col("v").alias("b"), F.col("members").alias("set_b")), "b")
     two = one.join(sets.select(F.col("v").alias("a"), F.col("members").alias("set_a")), "a")
-    return two.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, n_a long, n_b long, both long, beside array<long>")
+    return two.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+
+
+def _possible(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and odd sketches of two classes (columns n_, sketch_) allow the similarity."""
+    n = F.col(f"n_{x}") + F.col(f"n_{y}")
+    differ = reduce(lambda s, k: s + F.bit_count(F.get(f"sketch_{x}", F.lit(k)).bitwiseXOR(F.get(f"sketch_{y}", F.lit(k)))), range(SKETCH), F.lit(0))
+    near = 100 * F.least(f"n_{x}", f"n_{y}") >= percent * F.greatest(f"n_{x}", f"n_{y}")
+    return near & (differ * (100 + percent) <= n * (100 - percent))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -170,16 +184,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, id_col: str, t
     return made.join(picked.select("cls", "v"), "cls").groupBy("v").agg(F.first("members").alias("members"))
 
 
-def _links(compared: DataFrame, percent: int) -> DataFrame:
-    return compared.filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both")))
-
-
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, extra: tuple[str, ...] = ()) -> DataFrame:
     """`id_col`, the columns of `extra`, n_shingles, component_id (the least id that the document reaches), kept (whether it is its own), and
     class_id (of equal sets; null for empty ones) of every row."""
     small_batches(docs.sparkSession)
     sig = written(signatures(docs, id_col, text_col, extra).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    classes = sig.filter("cls is not null").groupBy("cls").agg(F.min("row").alias("v"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+    classes = sig.filter("cls is not null").groupBy("cls").agg(F.min("row").alias("v"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
 
     # half keys that two classes share, and how common a class's half keys are
@@ -195,64 +205,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = rows.select("key", "v", "i", "j").join(buckets, "key")
 
     # stars
-    facts = classes.select("v", "n", "halves")
+    facts = lambda c: classes.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     stars = members.filter("v <> a").select("a", F.col("v").alias("b")).distinct()
-    alike = F.aggregate(F.zip_with("h_a", "h_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    side = lambda c: facts.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("halves").alias(f"h_{c}"))
-    close = stars.join(side("a"), "a").join(side("b"), "b").filter(alike >= LEAST_SHARED).select("a", "b")
-    close = written(close, "stars")
-    wanted = close.select(F.col("a").alias("v")).union(close.select("b")).distinct()
-    sets = written(_sets(docs, wanted, classes, id_col, text_col), "sets")
-    seen = written(_compared(close, sets), "compared")
-    links = _links(seen, percent).select("a", "b")
+    close = written(stars.join(facts("a"), "a").join(facts("b"), "b").filter(_possible("a", "b", percent)).select("a", "b"), "stars")
+    ends = lambda pairs: pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+    sets = written(_sets(docs, ends(close), classes, id_col, text_col), "sets")
+    links = written(_linked(close, sets, percent), "links")
     comps = written(components(links), "components")
 
     # the rest: members of a bucket that aren't in the leader's component
-    comp_of = lambda c, out: comps.select(F.col("v").alias(c), F.col("comp").alias(out))
-    tagged = members.filter("c > 2").join(comp_of("v", "c_v"), "v", "left").join(comp_of("a", "c_a"), "a", "left")
-    tagged = tagged.withColumns({"c_v": F.coalesce("c_v", "v"), "c_a": F.coalesce("c_a", "a")})
-    # of an outsider the star knows at most: both with the leader, and elements beside it that other members have too
-    failing = seen.filter(100 * F.col("both") < percent * (F.col("n_a") + F.col("n_b") - F.col("both")))
-    listed = seen.filter("beside is not null").join(failing.select("a").distinct(), "a", "left_semi").select("a", "b", F.explode("beside").alias("e"))
-    twice = listed.groupBy("a", "e").agg(F.count("*").alias("c")).filter("c > 1").select("a", "e")
-    also = listed.join(twice, ["a", "e"]).groupBy("a", "b").agg(F.count("*").alias("s"))
-    known = seen.join(also, ["a", "b"], "left").select(
-        "a",
-        F.col("b").alias("v"),
-        (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("sim"),
-        F.when(F.col("beside").isNotNull(), F.col("both") + F.coalesce("s", F.lit(0))).otherwise(F.col("n_b")).alias("most"),
-    )
-    known = written(known, "known")
-    outside = tagged.filter("c_v <> c_a and v <> a").select("key", "a", "v", "c_v", "i", "j")
-    open_keys = outside.select("key").distinct()
-    inside = tagged.filter("v <> a").join(open_keys, "key", "left_semi").select("key", "a", "v", "c_v", "i", "j")
-
-    def described(df: DataFrame, tag: str) -> DataFrame:
-        """The rows with what is known of the class and of its likeness to the leader, columns ending in tag."""
-        out = df.join(known, ["a", "v"], "left").join(facts, "v").withColumn("most", F.coalesce("most", "n"))
-        return out.select("key", *(F.col(c).alias(f"{c}_{tag}") for c in ("v", "c_v", "i", "j", "n", "most", "sim", "halves")))
-
-    inside = written(described(inside, "y"), "inside")
-    # against the best size that the bucket and the size bound allow, an outsider must still be able to reach the threshold
-    least = inside.groupBy("key").agg(F.min("n_y").alias("least"))
-    outside = described(outside, "x").join(least, "key")
-    floor = F.greatest(F.col("least"), F.ceil(F.col("n_x") * percent / 100))
-    top = F.least("most_x", "n_x")
-    outside = outside.filter(100 * top >= percent * (F.col("n_x") + F.greatest(floor, top) - top))
-    first = lambda lo, hi: F.array_position(F.zip_with(F.slice("halves_x", lo, hi), F.slice("halves_y", lo, hi), lambda x, y: x == y), True) - 1
-    joint = F.least("most_x", "most_y")
-    apart = F.coalesce(F.abs(F.col("sim_x") - F.col("sim_y")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-    able = (100 * joint >= percent * (F.col("n_x") + F.col("n_y") - joint)) & apart & (F.col("c_v_x") != F.col("c_v_y")) & (F.col("v_x") != F.col("v_y"))
-    shares = F.aggregate(F.zip_with("halves_x", "halves_y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= LEAST_SHARED
-    # each pair once: in the first table that it shares
-    once = (first(1, SIDE) == F.col("i_x")) & (first(SIDE + 1, SIDE) == F.col("j_x") - SIDE)
-    rest = outside.join(inside, "key").filter(able & once & shares)
+    comp_of = lambda c: comps.select(F.col("v").alias(c), F.col("comp").alias(f"comp_{c}"))
+    tagged = members.filter("c > 2 and v <> a").join(comp_of("v"), "v", "left").join(comp_of("a"), "a", "left")
+    tagged = tagged.select("key", "v", "i", "j", F.coalesce("comp_v", "v").alias("comp"), F.coalesce("comp_a", "a").alias("of"))
+    outside = tagged.filter("comp <> of")
+    inside = tagged.join(outside.select("key").distinct(), "key", "left_semi")
+    described = lambda df, c: df.join(classes, "v").select("key", *(F.col(x).alias(f"{x}_{c}") for x in ("v", "i", "j", "comp", "n", "halves", "sketch")))
+    first = lambda lo: F.array_position(F.zip_with(F.slice("halves_x", lo, SIDE), F.slice("halves_y", lo, SIDE), lambda x, y: x == y), True) - 1
+    once = (first(1) == F.col("i_x")) & (first(SIDE + 1) == F.col("j_x") - SIDE)
+    apart = (F.col("comp_x") != F.col("comp_y")) & _possible("x", "y", percent)
+    rest = described(outside, "x").join(described(inside, "y"), "key").filter(apart & once)
     rest = written(rest.select(F.least("v_x", "v_y").alias("a"), F.greatest("v_x", "v_y").alias("b")).distinct(), "rest")
-    more = rest.join(seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    missing = more.select(F.col("a").alias("v")).union(more.select("b")).distinct().join(sets.select("v"), "v", "left_anti")
-    sets = reduce(DataFrame.union, [sets, _sets(docs, missing, classes, id_col, text_col)])
-    found = written(_links(_compared(more, sets), percent).select("a", "b"), "links")
-    comps = written(components(links.union(found)), "components") if found.head(1) else comps
+    if rest.head(1):
+        missing = ends(rest).join(sets.select("v"), "v", "left_anti")
+        more = _linked(rest, sets.union(_sets(docs, missing, classes, id_col, text_col)), percent)
+        comps = written(components(links.union(more)), "components")
 
     # every class's component, and its least id
     placed = classes.select("cls", "v", "id").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
