@@ -33,14 +33,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import small_batches, written
 
 LENGTH, GRAM = 200, 32
 #: Contexts that one shard holds at most (some 350 bytes each), and bytes that are hashed at once.
-SHARD_CONTEXTS, STRIDE = 16_000, 1 << 22
+SHARD_CONTEXTS, STRIDE = 8_000, 1 << 22
 #: Most bytes of spans that are broadcast to meet their texts; beyond it they are joined.
 BROADCAST_BYTES = 48 << 20
 
@@ -253,9 +253,15 @@ def cut_out(data: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, in
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
 
 
-def _joined(texts: DataFrame, spans: DataFrame, column: str) -> DataFrame:
-    """texts with the array `column` of spans (row, column); broadcast where the spans are small, joined otherwise."""
-    size = spans.agg(F.sum(16 + 16 * F.size(column))).first()[0] or 0
+def _packed(lo: str, hi: str) -> Column:
+    """Two places as one long."""
+    return F.shiftleft(F.col(lo).cast("long"), 32) + F.col(hi)
+
+
+def _joined(texts: DataFrame, spans: DataFrame, column: str, each: int) -> DataFrame:
+    """texts with the arrays of spans (row, column and others, `each` bytes an element); broadcast where the spans are small,
+    joined otherwise."""
+    size = spans.agg(F.sum(64 + each * F.size(column))).first()[0] or 0
     return texts.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "row", "left")
 
 
@@ -293,19 +299,21 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # one context of each kind goes to its gram's shard; a gram with very many has several
     most = counted.groupBy("gram").agg(F.count("*").alias("kinds"))
     picked = again.filter("several").join(counted.select("gram", "context", "one"), ["gram", "context"]).filter("row = one.row and lo = one.lo").join(most, "gram")
-    picked = picked.select("row", F.struct("lo", "hi", "gram", "context", "kinds").alias("x")).groupBy("row").agg(F.collect_list("x").alias("xs"))
-    picked = written(picked, "picked")
     n_contexts = counted.count()
     deal = max(1, -(-2 * n_contexts // shard_contexts))
-    held = _joined(texts.select("row", "data"), picked, "xs").filter("xs is not null").select("row", "data", F.explode("xs").alias("x"))
-    held = held.select("row", F.col("x.lo").cast("long").alias("lo"), (F.col("x.hi") - F.col("x.lo") + 1).cast("long").alias("windows"), "x.gram", "x.context", "x.kinds", F.expr(f"substring(data, x.lo + 1, x.hi - x.lo + {LENGTH})").alias("data"))
-    held = written(held, "held")
     shards = F.ceil(F.col("kinds") / F.lit(shard_contexts)).cast("long")
-    held = held.withColumn("shard", F.when(shards > 1, F.pmod(F.xxhash64("gram", F.pmod("context", shards)), F.lit(1 << 60))).otherwise(F.pmod(F.xxhash64("gram"), F.lit(deal))))
-    few, many = held.filter(shards == 1), held.filter(shards > 1)
+    # of a gram that has several shards the number is negative
+    shard = F.when(shards > 1, -1 - F.pmod(F.xxhash64("gram", F.pmod("context", shards)), F.lit(1 << 60))).otherwise(F.pmod(F.xxhash64("gram"), F.lit(deal)))
+    picked = picked.select("row", F.struct(_packed("lo", "hi").alias("at"), "gram", shard.alias("shard")).alias("x")).groupBy("row").agg(F.collect_list("x").alias("xs"))
+    picked = written(picked.select("row", *(F.col(f"xs.{c}").alias(c) for c in ("at", "gram", "shard"))), "picked")
+    held = _joined(texts.select("row", "data"), picked, "at", 24).filter("at is not null").select("row", "data", F.explode(F.arrays_zip("at", "gram", "shard")).alias("x"))
+    lo, hi = F.shiftright("x.at", 32), F.col("x.at").bitwiseAND((1 << 32) - 1)
+    held = held.select("row", lo.alias("lo"), (hi - lo + 1).alias("windows"), "x.gram", "x.shard", F.substring("data", (lo + 1).cast("int"), (hi - lo + LENGTH).cast("int")).alias("data"))
+    held = written(held, "held")
+    few, many = held.filter("shard >= 0"), held.filter("shard < 0")
     span = "row long, lo long, hi long"
     found = few.groupBy("shard").applyInArrow(lambda b: _shard(b, False), span)
-    if most.filter(F.col("kinds") > shard_contexts).head(1):
+    if many.head(1):
         hashed = many.groupBy("shard").applyInArrow(lambda b: _shard(b, True), "gram long, row long, start long, shard long, hash binary, many boolean")
         hashed = hashed.withColumn("part", F.substring("hash", 1, 2))  # equal windows have equal hashes: parts of bounded size
         found = found.union(hashed.groupBy("gram", "part").applyInArrow(_merge, span))
@@ -314,15 +322,16 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for b in batches:
             out = []
             for xs in b.column(1):
-                x = np.array(sorted((s["lo"].as_py(), s["hi"].as_py()) for s in xs), np.int64).reshape(-1, 2)
+                x = np.sort(np.asarray(xs.values))
+                x = np.stack((x >> 32, x & 0xFFFFFFFF), 1)
                 end = np.maximum.accumulate(x[:, 1])
                 new = np.concatenate(([True], x[1:, 0] > end[:-1] + 1))
                 at = np.flatnonzero(new)
-                out.append([{"lo": int(a), "hi": int(c)} for a, c in zip(x[at, 0], end[np.concatenate((at[1:], [len(x)])) - 1], strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["row", "spans"])
+                out.append((x[at, 0] << 32) + end[np.concatenate((at[1:], [len(x)])) - 1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["row", "spans"])
 
     spans = whole.select("row", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).union(found)
-    spans = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).mapInArrow(joined_up, "row long, spans array<struct<lo:long,hi:long>>")
+    spans = spans.groupBy("row").agg(F.collect_list(_packed("lo", "hi")).alias("spans")).mapInArrow(joined_up, "row long, spans array<long>")
     spans = written(spans, "spans")
     kinds = {"n_bytes": ("long", pa.int64()), "n_removed": ("long", pa.int64()), "n_spans": ("long", pa.int64()), "kept_sha256": ("string", pa.string()), "kept": ("string", pa.string())}
 
@@ -330,12 +339,12 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for b in batches:
             out: dict[str, list] = {k: [] for k in keep}
             for data, xs in zip(b.column(0), b.column(1), strict=True):
-                data, xs = data.as_py(), xs.as_py() or []
-                rest, n, runs = cut_out(data, np.array([x["lo"] for x in xs], np.int64), np.array([x["hi"] for x in xs], np.int64))
+                data, x = data.as_py(), np.asarray(xs.values) if xs.is_valid else np.zeros(0, np.int64)
+                rest, n, runs = cut_out(data, x >> 32, x & 0xFFFFFFFF)
                 for k in keep:
                     out[k].append(len(data) if k == "n_bytes" else n if k == "n_removed" else runs if k == "n_spans" else rest.decode("utf-8", "ignore") if k == "kept" else hashlib.sha256(rest).hexdigest())
             yield pa.RecordBatch.from_arrays([*b.columns[2:], *(pa.array(out[k], kinds[k][1]) for k in keep)], [*b.schema.names[2:], *(f"new_{k}" for k in keep)])
 
-    rows = _joined(texts, spans, "spans").select("data", "spans", "id", *(f"own_{c}" for c in extra))
+    rows = _joined(texts, spans, "spans", 8).select("data", "spans", "id", *(f"own_{c}" for c in extra))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:]), *(f"new_{k} {kinds[k][0]}" for k in keep)])
     return rows.mapInArrow(finish, schema).select(F.col("id").alias(id_col), *(F.col(f"own_{c}").alias(c) for c in extra), *(F.col(f"new_{k}").alias(k) for k in keep))
