@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Measures of a volume table that become weights, by their layers' names.
-LAYERS = {"total": "total_interscellar_volume_um3", "edt": "edt_volume_um3", "intracellular": "intracellular_volume_um3", "touching": "touching_surface_area_um2"}
+LAYERS = {"total": "total_intercell_volume_um3", "edt": "edt_volume_um3", "intracellular": "intracellular_volume_um3", "touching": "touching_surface_area_um2"}
 
 
 def totals(cells: DataFrame, edges: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def weighted_adjacency(volumes: DataFrame) -> DataFrame:
 
 
 def volume_statistics(volumes: DataFrame) -> DataFrame:
-    v = "total_interscellar_volume_um3"
+    v = "total_intercell_volume_um3"
     out = volumes.groupBy("cell_a_type", "cell_b_type").agg(
         F.count("*").alias("pair_count"), F.avg(v).alias("mean_volume"), F.min(v).alias("min_volume"), F.max(v).alias("max_volume"),
         F.sum(v).alias("total_volume"), F.avg("mean_distance_um").alias("mean_distance"), F.avg("num_components").alias("mean_components"),
@@ -87,7 +87,7 @@ def volume_statistics(volumes: DataFrame) -> DataFrame:
 
 def volume_distribution(volumes: DataFrame) -> DataFrame:
     """Measures with the share of each part in the total, in percent; null where the total is 0."""
-    whole = F.nullif(F.col("total_interscellar_volume_um3"), F.lit(0.0))
+    whole = F.nullif(F.col("total_intercell_volume_um3"), F.lit(0.0))
     share = lambda c, name: (F.col(c) / whole * 100).alias(name)
     return volumes.select(
         "pair_id", "cell_a_id", "cell_b_id", "cell_a_type", "cell_b_type", *LAYERS.values(), "mean_distance_um", "max_distance_um", "num_components",
@@ -97,10 +97,10 @@ def volume_distribution(volumes: DataFrame) -> DataFrame:
 
 def high_volume(volumes: DataFrame) -> DataFrame:
     """Pairs above the mean by more than two sample standard deviations; none where there is but one pair."""
-    v = F.col("total_interscellar_volume_um3")
+    v = F.col("total_intercell_volume_um3")
     edge = volumes.agg((F.avg(v) + 2 * F.stddev_samp(v)).alias("_edge"))
     out = volumes.crossJoin(F.broadcast(edge)).filter(v > F.col("_edge"))
-    return out.select("pair_id", "cell_a_id", "cell_b_id", "cell_a_type", "cell_b_type", "total_interscellar_volume_um3", "mean_distance_um", "num_components").orderBy(F.desc("total_interscellar_volume_um3"), "pair_id")
+    return out.select("pair_id", "cell_a_id", "cell_b_id", "cell_a_type", "cell_b_type", "total_intercell_volume_um3", "mean_distance_um", "num_components").orderBy(F.desc("total_intercell_volume_um3"), "pair_id")
 
 
 def top_connected(cells: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
@@ -116,7 +116,7 @@ def export_metadata(cells: DataFrame, edges: DataFrame) -> DataFrame:
 
 def volume_info(volumes: DataFrame) -> DataFrame:
     """What goes with a weighted matrix: pairs, cells, mean and total volume, thresholds of the first pair."""
-    v = "total_interscellar_volume_um3"
+    v = "total_intercell_volume_um3"
     ends = volumes.select(F.explode(F.array("cell_a_id", "cell_b_id")).alias("c")).agg(F.countDistinct("c").alias("total_cells"))
     one = volumes.agg(F.count("*").alias("total_pairs"), F.avg(v).alias("mean_volume_um3"), F.sum(v).alias("total_volume_um3"), F.min_by("max_distance_threshold_um", "pair_id").alias("max_distance_threshold_um"), F.min_by("intracellular_threshold_um", "pair_id").alias("intracellular_threshold_um"))
     return one.crossJoin(ends)  # a row each

@@ -144,7 +144,7 @@ class Volumes:
         total = n("edt") + n("rim") + n("met")
         return out.select(
             "pair_id", "cell_a_id", "cell_b_id", "cell_a_type", "cell_b_type",
-            (total * size).alias("total_interscellar_volume_um3"), total.alias("total_interscellar_volume_voxels"),
+            (total * size).alias("total_intercell_volume_um3"), total.alias("total_intercell_volume_voxels"),
             (n("edt") * size).alias("edt_volume_um3"), n("edt").alias("edt_volume_voxels"),
             (n("rim") * size).alias("intracellular_volume_um3"), n("rim").alias("intracellular_volume_voxels"),
             (n("met") * size).alias("touching_surface_area_um2"), n("met").alias("touching_surface_area_voxels"),

@@ -55,7 +55,7 @@ PARTS = {
     "held": "SELECT * FROM gap UNION ALL SELECT * FROM rim UNION ALL SELECT * FROM contact",
     "mesh": "SELECT z, y, x, max(pair_id) pair_id FROM held GROUP BY ALL",
     "rest": "SELECT * FROM vox v WHERE NOT EXISTS (SELECT 1 FROM mesh m WHERE m.z = v.z AND m.y = v.y AND m.x = v.x)",
-    "vol": f"""SELECT p.*, (coalesce(g.n, 0) + coalesce(r.n, 0) + coalesce(c.n, 0)) * {SIZE} total_interscellar_volume_um3, coalesce(g.n, 0) + coalesce(r.n, 0) + coalesce(c.n, 0) total_interscellar_volume_voxels,
+    "vol": f"""SELECT p.*, (coalesce(g.n, 0) + coalesce(r.n, 0) + coalesce(c.n, 0)) * {SIZE} total_intercell_volume_um3, coalesce(g.n, 0) + coalesce(r.n, 0) + coalesce(c.n, 0) total_intercell_volume_voxels,
         coalesce(g.n, 0) * {SIZE} edt_volume_um3, coalesce(g.n, 0) edt_volume_voxels, coalesce(r.n, 0) * {SIZE} intracellular_volume_um3, coalesce(r.n, 0) intracellular_volume_voxels,
         coalesce(c.n, 0) * {SIZE} touching_surface_area_um2, coalesce(c.n, 0) touching_surface_area_voxels, coalesce(m.mean_d, 0.0) mean_distance_um, coalesce(m.max_d, 0.0) max_distance_um,
         {SIZE} voxel_volume_um3, {FAR}::DOUBLE max_distance_threshold_um, {RIM}::DOUBLE intracellular_threshold_um, coalesce(u.n, 0) union_voxels
@@ -87,7 +87,7 @@ def _zonal(value: str, name: str) -> str:
     return f"round(sum({value}), 6) {name}_sum, round(avg({value}), 6) {name}_mean, round(stddev_pop({value}), 6) {name}_std, round(min({value}), 6) {name}_min, round(max({value}), 6) {name}_max, round(count(*) FILTER ({value} <> 0) / count({value}), 6) {name}_nonzero_fraction"
 
 
-V = "total_interscellar_volume_um3"
+V = "total_intercell_volume_um3"
 _DEG = "SELECT cell_id_a c, cell_id_b o FROM edges UNION SELECT cell_id_b, cell_id_a FROM edges"
 ORACLES = {
     "zonal_stats": f"SELECT l_suppkey + 1 AS label, count(*) voxel_count, {', '.join(_zonal(c, c) for c in CHANNELS)} FROM lineitem GROUP BY 1",
@@ -127,7 +127,7 @@ ORACLES = {
     "rim_voxels": _sql("SELECT * FROM rim", "rim"),
     "mesh": _sql("SELECT * FROM mesh", "mesh"),
     "cell_only": _sql("SELECT * FROM rest", "rest"),
-    "volume_table": _sql("SELECT " + "pair_id, cell_a_id, cell_b_id, cell_a_type, cell_b_type, total_interscellar_volume_voxels, edt_volume_voxels, intracellular_volume_voxels, touching_surface_area_voxels, union_voxels, " + ", ".join(f"round({c}, 6) {c}" for c in (V, "edt_volume_um3", "intracellular_volume_um3", "touching_surface_area_um2", "mean_distance_um", "max_distance_um", "voxel_volume_um3", "max_distance_threshold_um", "intracellular_threshold_um")) + " FROM vol", "vol"),
+    "volume_table": _sql("SELECT " + "pair_id, cell_a_id, cell_b_id, cell_a_type, cell_b_type, total_intercell_volume_voxels, edt_volume_voxels, intracellular_volume_voxels, touching_surface_area_voxels, union_voxels, " + ", ".join(f"round({c}, 6) {c}" for c in (V, "edt_volume_um3", "intracellular_volume_um3", "touching_surface_area_um2", "mean_distance_um", "max_distance_um", "voxel_volume_um3", "max_distance_threshold_um", "intracellular_threshold_um")) + " FROM vol", "vol"),
     "cell_only_volumes": _sql(f"SELECT label cell_id, count(*) cell_only_volume_voxels, round(count(*) * {SIZE}, 6) cell_only_volume_um3, cell_type FROM rest JOIN cells ON cell_id = label GROUP BY ALL", "rest"),
     "volume_stats": _sql(f"SELECT cell_a_type, cell_b_type, count(*) pair_count, round(avg({V}), 6) mean_volume, round(min({V}), 6) min_volume, round(max({V}), 6) max_volume, round(sum({V}), 6) total_volume, round(avg(mean_distance_um), 6) mean_distance, 1.0::DOUBLE mean_components FROM vol GROUP BY 1, 2", "vol"),
     "volume_distribution": _sql(f"""SELECT pair_id, cell_a_id, cell_b_id, cell_a_type, cell_b_type, round({V}, 6) {V}, round(edt_volume_um3, 6) edt_volume_um3, round(intracellular_volume_um3, 6) intracellular_volume_um3, round(touching_surface_area_um2, 6) touching_surface_area_um2,
