@@ -32,6 +32,9 @@ from lattica.llm.common import word_count, written
 
 #: Weights of the contract, repeating over the sources in order, and the share of all sizes that is wanted.
 WEIGHTS, TOTAL, MOST = (5, 2, 1), Fraction(3, 2), 2
+#: Schedules of production by place in the repeating weights: (time, weight) points. The heaviest sources come early and
+#: the lightest late; over the whole time each weighs 1.
+SCHEDULE = {0: [(0.0, 1.5), (1.0, 0.5)], 1: [(0.0, 1.0), (1.0, 1.0)], 2: [(0.0, 0.5), (1.0, 1.5)]}
 #: Rows that one bucket of a running sum holds on average.
 BUCKET_ROWS = 4096
 #: Most buckets whose running sums are broadcast (some 30 bytes each).
@@ -100,13 +103,13 @@ def mixed(
     schedule: for a place in the repeating weights, its (time, relative weight) points from time 0 to 1; by default the
     heaviest sources come early and the lightest late. Weights over the whole time keep the ratios of `weights`.
     """
-    schedule = schedule or {0: [(0.0, 1.5), (1.0, 0.5)], 1: [(0.0, 1.0), (1.0, 1.0)], 2: [(0.0, 0.5), (1.0, 1.5)]}
+    schedule = schedule or SCHEDULE
     text = F.col(text_col).cast("string")
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(text).alias("size"),
-        F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")).alias("h"),
+        F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("mix"))).alias("h"),
         *(F.col(c).alias(f"own_{c}") for c in extra),
     )
     # what is summed reads narrow rows; only the placing itself carries the columns of `extra`
@@ -125,15 +128,15 @@ def mixed(
         "source string, source_size long, target double, rounds long, rest long, buckets long, place int",
     )
     # buckets are ranges of the hash, so buckets in order, and hashes in order inside each, are one order of the source
-    low = F.shiftrightunsigned(F.col("h"), 1)  # 63 bits
-    bucket = F.least(F.col("buckets") - 1, F.floor(low.cast("double") / F.lit(2.0**63) * F.col("buckets")).cast("long"))
+    high = F.conv(F.substring("h", 1, 12), 16, 10).cast("double") / F.lit(2.0**48)
+    bucket = F.least(F.col("buckets") - 1, F.floor(high * F.col("buckets")).cast("long"))
 
     def with_source(df: DataFrame) -> DataFrame:
         return df.join(F.broadcast(table), df["source"].eqNullSafe(table["source"])).drop(table["source"]).withColumn("bucket", bucket)
 
     sums = with_source(narrow).groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "bucket").orderBy(low, "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = with_source(rows).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     # buckets number about the square root of the rows, so their bases are broadcast; beyond the bound they are joined
     small = sum(max(1, -(-n // max(bucket_rows, isqrt(n)))) for _, _, n in by_source) <= BROADCAST_BUCKETS

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattica.llm import bpe_codec, html_text, language_id, minhash_dedup, mixing, quality_rules, suffix_dedup, token_counts, url_filters, va_search
 from lattica.llm.common import table
+from lattica.llm.oracles import ALLOW, BLOCK, ORACLES
 
-#: The rules of the contract.
-ALLOW, BLOCK = ["example.net/en/", "org/fr/"], ["net/", "example.com/de/"]
+__all__ = ["ORACLES", "QUERIES", "TOKENIZER"]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -25,7 +26,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_id")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"))
+    return mixing.mixed(table(spark, sf_dir, "documents")).withColumn("position", F.round("position", 9))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +69,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_codec": op9_bpe_codec,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {}
