@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lattica.operators.numbering import numbered
 from lattica.operators.spatial import nearest, radius_pairs
 from lattica.operators.voxels import AXES, boxes, cell_surface_6n, halo_boxes, surface, touching
+from lattica.session import materialised
 from lattica.sources.tables import Grid
 
 #: Voxels along a block of the box-point join.
@@ -74,7 +75,8 @@ def edges(touch: DataFrame, near: DataFrame, cells: DataFrame) -> DataFrame:
     both = touch.select("cell_id_a", "cell_id_b", F.lit(0.0).alias("surface_distance_um"), F.lit(0).alias("_kind"))
     far = F.col("surface_distance_um") if "surface_distance_um" in near.columns else F.lit(None).cast("double").alias("surface_distance_um")
     both = both.unionByName(unlike(near, touch).select("cell_id_a", "cell_id_b", far, F.lit(1).alias("_kind")))
-    once = both.groupBy("cell_id_a", "cell_id_b").agg(F.min("_kind").alias("_kind"), F.min("surface_distance_um").alias("surface_distance_um"))
+    # numbering looks at the pairs several times, so they are computed once
+    once = materialised(both.groupBy("cell_id_a", "cell_id_b").agg(F.min("_kind").alias("_kind"), F.min("surface_distance_um").alias("surface_distance_um")), "pairs")
     out = None
     first = 1
     for kind in (0, 1):
