@@ -79,7 +79,9 @@ def element_score(tag: str, attrs: str) -> tuple[float, bool]:
             score += HIDDEN
         else:
             words = {w.lower() for w in WORDS.findall(value)}
-            bad, good = bad or bool(words & BAD_WORDS), good or bool(words & GOOD_WORDS)
+            fine = bool(words & GOOD_WORDS)
+            # the head of a post or an article holds its title
+            bad, good = bad or bool(words & BAD_WORDS - ({"header"} if fine else set())), good or fine
     return score + (BAD if bad and not root else GOOD if good else 0.0), root
 
 

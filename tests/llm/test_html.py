@@ -29,6 +29,16 @@ def test_without_landmarks():
     assert not any(w in " ".join(got) for w in ("Home", "Imprint"))
 
 
+def test_other_templates():
+    page = """<html><body><div id="page"><div class="masthead"><a href=/>Site</a></div><div class="breadcrumbs"><a href=/>Home</a> &gt; <a href=/x>News</a></div>
+<main id="main-content"><article class="post"><header class="entry-header"><h1 class="entry-title">Title of it</h1><p class="byline">By A. Writer</p></header>
+<div class="entry-content"><p>The first paragraph is here, and it is long enough to be read.</p><blockquote>A quotation.</blockquote><table><tr><td>One</td><td>Two</td></tr></table>
+<div class="newsletter-signup"><p>Sign up for our letter, which comes every week and costs nothing.</p></div><p>The last paragraph.</p></div>
+<footer class="entry-footer">Filed under: <a href=/t>things</a></footer></article><div class="reader-comments"><ol><li>I do not agree with any of it, and I will say so here.</li></ol></div></main>
+<div class="right-rail"><p>Most read: the things that people have read most in the last days.</p></div><noscript>Please turn on scripts.</noscript></div></body></html>"""
+    assert main_text(page).split("\n\n") == ["Title of it", "By A. Writer", "The first paragraph is here, and it is long enough to be read.", "A quotation.", "One", "Two", "The last paragraph."]
+
+
 def test_broken():
     for page in (None, "", "<", "a < b", "<p", "<!--", "</p></div>", "<script>x", "<a <b>", "&#xZZ; &bogus; &amp", "<p title='", "<table><tr><td>x", "<p>" * 3000, "<div>" * 3000 + "x", '<a b="' * 2000, "<x" * 5000, "\x00�"):
         main_text(page)
