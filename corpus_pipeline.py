@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe_codec, language_id, minhash_dedup, mixing, suffix_dedup
-from lattica.llm.common import table, written
+from lattica.llm.common import discard, table, written
 from lattica.llm.queries import TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,13 +37,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows of files that don't change keep their numbers from one reading to the next
     rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
-    judged = written(minhash_dedup.near_duplicates(rows.select("doc_id", "text", "row"), extra=("row",)).select("row", "component_id", "kept", "class_id"), "judged")
+    judged = minhash_dedup.near_duplicates(rows.select("doc_id", "text", "row"), extra=("row",))
     # rows that repeat a kept document: the first stays
     group = judged.filter("kept and class_id is not null")
     first = group.groupBy("component_id").agg(F.min("row").alias("stays"))
     again = group.join(first, group["component_id"].eqNullSafe(first["component_id"])).filter("row <> stays").select("row")
     gone = judged.filter("not kept").select("row").union(again)
     gone = written(gone, "gone")
+    discard(judged)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
@@ -74,7 +75,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs_in, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, name)
+            before, docs = docs_in, written(docs, name)
+            discard(before)
     return docs

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import small_batches, written
+from lattica.llm.common import discard, small_batches, written
 
 #: Half keys of each collection, minhashes of a half key, words of a shingle, percent of the union that links.
 SIDE, ROWS, SHINGLE, PERCENT = 12, 2, 5, 75
@@ -40,7 +40,7 @@ SKETCH = 16
 #: Most class ids (8 bytes each) that are broadcast to pick rows; beyond it they are joined.
 BROADCAST_IDS = 1_000_000
 #: Words whose hashes a Python worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 _rng = np.random.Generator(np.random.Philox(20240501))
 _MUL = _rng.integers(1, 2**63, 2 * SIDE * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,14 +126,18 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if now == before or not now[0]:
-            return e.select(F.col("u").alias("v"), F.col("v").alias("comp")).union(e.select("v", F.col("v").alias("comp"))).groupBy("v").agg(F.min("comp").alias("comp"))
+            out = e.select(F.col("u").alias("v"), F.col("v").alias("comp")).union(e.select("v", F.col("v").alias("comp"))).groupBy("v").agg(F.min("comp").alias("comp"))
+            out = written(out, "components")
+            discard(e)
+            return out
         before = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = written(small.filter("u <> v").distinct(), "edges")
+        last, e = e, written(small.filter("u <> v").distinct(), "edges")
+        discard(last)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -194,7 +198,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # half keys that two classes share, and how common a class's half keys are
     half = classes.select("v", F.posexplode("halves").alias("k", "h"))
-    common = half.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    # written, so that the join has an exchange on both sides and adaptive execution can split a frequent half key's rows
+    common = written(half.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "common")
     shared = half.join(common, "h").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("hs"), F.sum(F.log2("c")).alias("score"))
     left, right = F.filter("hs", lambda x: x["k"] < SIDE), F.filter("hs", lambda x: x["k"] >= SIDE)
     keys = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.struct(F.xxhash64(a["h"], b["h"]).alias("key"), a["k"].alias("i"), b["k"].alias("j")))))
@@ -211,7 +216,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ends = lambda pairs: pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
     sets = written(_sets(docs, ends(close), classes, id_col, text_col), "sets")
     links = written(_linked(close, sets, percent), "links")
-    comps = written(components(links), "components")
+    comps = components(links)
 
     # the rest: members of a bucket that aren't in the leader's component
     comp_of = lambda c: comps.select(F.col("v").alias(c), F.col("comp").alias(f"comp_{c}"))
@@ -228,11 +233,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if rest.head(1):
         missing = ends(rest).join(sets.select("v"), "v", "left_anti")
         more = _linked(rest, sets.union(_sets(docs, missing, classes, id_col, text_col)), percent)
-        comps = written(components(links.union(more)), "components")
+        first_comps, comps = comps, components(links.union(more))
+        discard(first_comps)
 
     # every class's component, and its least id
     placed = classes.select("cls", "v", "id").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     named = placed.join(placed.groupBy("comp").agg(F.min("id").alias("component_id")), "comp").select("cls", F.col("v").alias("class_id"), "component_id")
     out = sig.select("id", "n", "cls", *(f"own_{c}" for c in extra)).join(named, "cls", "left")
+    # computed here and now, so that nothing is left of the steps before
     own = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), *(F.col(f"own_{c}").alias(c) for c in extra), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.col("id").isNull() & own.isNull()).alias("kept"), "class_id")
+    out = written(out.select(F.col("id").alias(id_col), *(F.col(f"own_{c}").alias(c) for c in extra), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.col("id").isNull() & own.isNull()).alias("kept"), "class_id"), "groups")
+    discard(sig, classes, common, tables, buckets, close, sets, links, comps, rest)
+    return out

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import small_batches, written
+from lattica.llm.common import discard, small_batches, written
 
 LENGTH, GRAM = 200, 32
 #: Contexts that one shard holds at most (some 350 bytes each), and bytes that are hashed at once.
@@ -288,9 +288,12 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols, (np.int64, np.int32, np.int32, np.int64, np.int64), strict=True)], ["row", "lo", "hi", "gram", "context"])
 
     marks = written(texts.filter(F.length("data") >= LENGTH).select("row", "data").mapInArrow(cut, "row long, lo int, hi int, gram long, context long"), "anchors")
-    # grams that occur again, and whether with one context or several
+    # grams that occur again, and whether with one context or several; written, so that the join below has an exchange on
+    # both sides and adaptive execution can split a frequent gram's rows over tasks
     grams = marks.groupBy("gram").agg(F.count("*").alias("c"), (F.min("context") != F.max("context")).alias("several")).filter("c > 1").select("gram", "several")
+    grams = written(grams, "grams")
     again = written(marks.join(grams, "gram"), "again")
+    discard(marks, grams)
     counted = again.filter("several").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo")).alias("one"))
     counted = written(counted, "contexts")
     whole = again.filter(~F.col("several")).select("row", "lo", "hi")
@@ -333,6 +336,7 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spans = whole.select("row", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).union(found)
     spans = spans.groupBy("row").agg(F.collect_list(_packed("lo", "hi")).alias("spans")).mapInArrow(joined_up, "row long, spans array<long>")
     spans = written(spans, "spans")
+    discard(again, counted, picked, held)
     kinds = {"n_bytes": ("long", pa.int64()), "n_removed": ("long", pa.int64()), "n_spans": ("long", pa.int64()), "kept_sha256": ("string", pa.string()), "kept": ("string", pa.string())}
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
