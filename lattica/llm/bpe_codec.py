@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from lattica.llm.common import small_batches
 from lattica.llm.pretokens import CUT, plain
 
-#: Entries of a worker's tables, and the longest word that is kept.
-KEPT, KEPT_CHARS = 600_000, 40
+#: Words and pairs that a worker keeps (some 400 and 100 bytes each), and the longest word that is kept.
+KEPT, KEPT_PAIRS, KEPT_CHARS = 200_000, 300_000, 40
 #: Stands for no token before the first; ids are smaller.
 NONE = (1 << 17) - 1
 
@@ -120,7 +120,7 @@ class Codec:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the joint bytes of two tokens gives just these two; a = NONE: whether b's bytes merge to b."""
-        if len(self.fits) > 4 * KEPT:
+        if len(self.fits) > KEPT_PAIRS:
             self.fits.clear()
         if a == NONE:
             known = self.merged(self.text_of[b]) == [b]
