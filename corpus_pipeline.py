@@ -38,10 +38,10 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows of files that don't change keep their numbers from one reading to the next
     rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
     judged = minhash_dedup.near_duplicates(rows.select("doc_id", "text", "row"), extra=("row",))
-    # rows that repeat a kept document: the first stays
-    group = judged.filter("kept and class_id is not null")
-    first = group.groupBy("component_id").agg(F.min("row").alias("stays"))
-    again = group.join(first, group["component_id"].eqNullSafe(first["component_id"])).filter("row <> stays").select("row")
+    # rows that repeat a kept document: the first of each component stays; components may share an id, or have none
+    group = judged.filter("kept and comp is not null")
+    first = group.groupBy("comp").agg(F.min("row").alias("stays"))
+    again = group.join(first, "comp").filter("row <> stays").select("row")
     gone = judged.filter("not kept").select("row").union(again)
     gone = written(gone, "gone")
     discard(judged)

@@ -190,7 +190,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, id_col: str, t
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, extra: tuple[str, ...] = ()) -> DataFrame:
     """`id_col`, the columns of `extra`, n_shingles, component_id (the least id that the document reaches), kept (whether it is its own), and
-    class_id (of equal sets; null for empty ones) of every row."""
+    comp (the component's own number, which no two share as they may an id; null for empty sets) of every row."""
     small_batches(docs.sparkSession)
     sig = written(signatures(docs, id_col, text_col, extra).withColumn("row", F.monotonically_increasing_id()), "signatures")
     classes = sig.filter("cls is not null").groupBy("cls").agg(F.min("row").alias("v"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
@@ -238,10 +238,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # every class's component, and its least id
     placed = classes.select("cls", "v", "id").join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    named = placed.join(placed.groupBy("comp").agg(F.min("id").alias("component_id")), "comp").select("cls", F.col("v").alias("class_id"), "component_id")
+    named = placed.join(placed.groupBy("comp").agg(F.min("id").alias("component_id")), "comp").select("cls", "comp", "component_id")
     out = sig.select("id", "n", "cls", *(f"own_{c}" for c in extra)).join(named, "cls", "left")
     # computed here and now, so that nothing is left of the steps before
     own = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    out = written(out.select(F.col("id").alias(id_col), *(F.col(f"own_{c}").alias(c) for c in extra), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.col("id").isNull() & own.isNull()).alias("kept"), "class_id"), "groups")
+    out = written(out.select(F.col("id").alias(id_col), *(F.col(f"own_{c}").alias(c) for c in extra), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.col("id").isNull() & own.isNull()).alias("kept"), "comp"), "groups")
     discard(sig, classes, common, tables, buckets, close, sets, links, comps, rest)
     return out

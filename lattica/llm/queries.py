@@ -26,7 +26,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_id")
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("comp")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,3 +100,15 @@ def test_run_agrees(spark, steps):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_dedup_by_component(spark, tmp_path):
+    """Unrelated texts stay although they have no id or share one; of each group one row stays."""
+    text = lambda w: " ".join(f"{w}{k % 23}" for k in range(60))
+    ids = [None, None, None, 7, 7, 7, 7, 8, None, 9, None]
+    words = ["a", "b", "a", "c", "d", "c", "d", "c", "e", "e", None]
+    docs = spark.createDataFrame([(i, text(w) if w else "", "en", str(k), 1) for k, (i, w) in enumerate(zip(ids, words, strict=True))], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    after = cp.dedup(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()
+    left = sorted((x.text[:1], x.doc_id is not None, x.doc_id) for x in after)
+    assert left == [("", False, None), ("a", False, None), ("b", False, None), ("c", True, 7), ("d", True, 7), ("e", True, 9)]
