@@ -269,9 +269,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rim_voxels": _of_volumes(lambda v: v.rim),
     "mesh": _of_volumes(lambda v: v.mesh),
     "cell_only": _of_volumes(lambda v: v.cell_only),
-    "volume_stats": _of_volumes(lambda v: graph.volume_statistics(v.table.drop("num_components").withColumn("num_components", F.lit(1)))),
-    "volume_distribution": _of_volumes(lambda v: graph.volume_distribution(v.table).drop("num_components")),
-    "high_volume": _of_volumes(lambda v: graph.high_volume(v.table).drop("num_components")),
+    "volume_stats": _of_volumes(lambda v: graph.volume_statistics(v.table)),
+    "volume_distribution": _of_volumes(lambda v: graph.volume_distribution(v.table)),
+    "high_volume": _of_volumes(lambda v: graph.high_volume(v.table)),
     "weighted_coo": _of_volumes(lambda v: graph.weighted_adjacency(v.table)),
     "volume_info": _of_volumes(lambda v: graph.volume_info(v.table)),
 }

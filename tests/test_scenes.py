@@ -266,3 +266,34 @@ def test_halo(spark):
     assert tuple(voxels.halo_boxes(b, 0.5, GRID, clip=False).first()) == (1, 0, 5, 0, 6, 0, 6)
     assert tuple(voxels.halo_boxes(b, math.inf, GRID).first()) == (1, 0, 12, 0, 12, 0, 12)
     assert F is not None
+
+
+def test_queries_give_components(spark, monkeypatch):
+    """Pairs with no, one and two parts of gap, through the registered queries."""
+    from lattica.plans import catalogue
+
+    apart = cube(1, 0, 0, 0) + cube(2, 0, 0, 4)
+    wall = [(z, 6 + y, 3, 5) for z in range(3) for y in range(9)]
+    holed = cube(3, 0, 8, 0) + cube(4, 0, 8, 4) + [p for p in wall if p[1] != 9]
+    shell = [(8 + z, 8 + y, 8 + x, 6) for z, y, x in itertools.product(range(3), repeat=3) if (z, y, x) != (1, 1, 1)]
+    v = frame(spark, apart + holed + shell + [(9, 9, 9, 7)])
+    run = volumes.Volumes(v, pair_frame(spark, (1, 2), (3, 4), (6, 7)), Grid(20, 20, 20))
+    monkeypatch.setattr(catalogue, "_volumes", lambda spark, d: run)
+    points = {}
+    for r in run.gap.collect():
+        points.setdefault(r.pair_id, set()).add((r.z, r.y, r.x))
+    want = {1: 0, 2: 0, 3: 0}
+    for pair, left in points.items():
+        while left:
+            todo = [left.pop()]
+            want[pair] += 1
+            while todo:
+                p = todo.pop()
+                near = {q for q in left if sum(abs(a - b) for a, b in zip(p, q)) == 1}
+                left -= near
+                todo += near
+    assert want[3] == 0 and want[1] == 1
+    got = catalogue.QUERIES["volume_distribution"](spark, "").collect()
+    assert {r.pair_id: r.num_components for r in got} == want
+    assert catalogue.QUERIES["volume_stats"](spark, "").first().mean_components == round(sum(want.values()) / 3, 6)
+    assert "num_components" in catalogue.QUERIES["high_volume"](spark, "").columns
