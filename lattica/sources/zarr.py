@@ -37,12 +37,20 @@ class Array:
     separator: str
     prefix: str
     attributes: dict
+    fill: float = 0.0
 
     @property
     def spatial(self) -> tuple[int, ...]:
         return self.shape[-3:]
 
 
+def _fill(value: object, kind: np.dtype) -> float:
+    """A fill value; null stands for 0, 0x... (version 3) for the bits of a float."""
+    if isinstance(value, str) and value.startswith("0x"):
+        return float(np.array(int(value, 16), f"u{kind.itemsize}").view(f"f{kind.itemsize}"))
+    return float(value or 0)  # NaN and Infinity are words
+
+
 def _array(key: str, spec: dict, attributes: dict) -> Array:
     if "zarr_format" in spec and spec["zarr_format"] == 3:
         codecs = spec.get("codecs", [])
@@ -53,11 +61,11 @@ def _array(key: str, spec: dict, attributes: dict) -> Array:
         kind = np.dtype(spec["data_type"]).newbyteorder("<" if endian == "little" else ">").str
         enc = spec.get("chunk_key_encoding", {"name": "default"})
         sep = enc.get("configuration", {}).get("separator", "/" if enc["name"] == "default" else ".")
-        return Array(key, tuple(spec["shape"]), tuple(spec["chunk_grid"]["configuration"]["chunk_shape"]), kind, "C", names[0] if names else None, sep, "c" + sep if enc["name"] == "default" else "", {**spec.get("attributes", {}), **attributes})
+        return Array(key, tuple(spec["shape"]), tuple(spec["chunk_grid"]["configuration"]["chunk_shape"]), kind, "C", names[0] if names else None, sep, "c" + sep if enc["name"] == "default" else "", {**spec.get("attributes", {}), **attributes}, _fill(spec.get("fill_value"), np.dtype(kind)))
     comp = spec.get("compressor")
     if spec.get("filters"):
         raise ValueError(f"filters of {key} can't be read")
-    return Array(key, tuple(spec["shape"]), tuple(spec["chunks"]), spec["dtype"], spec.get("order", "C"), comp["id"] if comp else None, spec.get("dimension_separator", "."), "", attributes)
+    return Array(key, tuple(spec["shape"]), tuple(spec["chunks"]), spec["dtype"], spec.get("order", "C"), comp["id"] if comp else None, spec.get("dimension_separator", "."), "", attributes, _fill(spec.get("fill_value"), np.dtype(spec["dtype"])))
 
 
 def arrays(spark: SparkSession, path: str, depth: int = 2) -> dict[str, Array]:
@@ -151,13 +159,20 @@ def _decoded(data: bytes, a: Array) -> np.ndarray:
 
 def places(spark: SparkSession, path: str, a: Array, *, box: tuple[tuple[int, int], ...] | None = None, zeros: bool = False) -> DataFrame:
     """c, z, y, x, value of an array's non-zero places (all places with zeros): leading dimensions beyond four are taken at 0,
-    c is 0 without a channel dimension. box bounds z, y, x half-open; chunks outside it are not read."""
+    c is 0 without a channel dimension. box bounds z, y, x half-open; chunks outside it are not read. A chunk that the store
+    leaves out holds the array's fill value."""
     n, chunks = len(a.shape), a.chunks
     key = re.escape(a.prefix) + re.escape(a.separator).join([r"\d+"] * n)
     top = f"{path.rstrip('/')}/{a.key}".rstrip("/")
     files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(top).filter(F.col("path").rlike(rf"/{key}$") & ~F.col("path").rlike(r"\.z\w+$"))
     at = F.split(F.regexp_extract("path", rf"/{re.escape(a.prefix)}({re.escape(a.separator).join([r'\d+'] * n)})$", 1), re.escape(a.separator))
     files = files.select(F.transform(at, lambda s: s.cast("int")).alias("at"), "content")
+    if zeros or a.fill != 0:
+        counts = [-(-s // c) for s, c in zip(a.shape, chunks, strict=True)]
+        counts = [1] * max(0, n - 4) + counts[max(0, n - 4) :]
+        at = [F.floor(F.col("id") / math.prod(counts[k + 1 :])).cast("long") % counts[k] for k in range(n)]
+        grid = spark.range(math.prod(counts)).select(F.array(*(k.cast("int") for k in at)).alias("at"))
+        files = files.unionByName(grid.join(files.select("at"), "at", "left_anti").withColumn("content", F.lit(None).cast("binary")))
     for k in range(n - 4 if n > 4 else 0):
         files = files.filter(F.get("at", k) == 0)
     if box is not None:
@@ -167,7 +182,8 @@ def places(spark: SparkSession, path: str, a: Array, *, box: tuple[tuple[int, in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for where, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                block = _decoded(data.as_py(), a)[(0,) * max(0, n - 4)]
+                block = _decoded(data.as_py(), a) if data.is_valid else np.full(chunks, a.fill, np.dtype(a.dtype).newbyteorder("="))
+                block = block[(0,) * max(0, n - 4)]
                 dims = block.ndim
                 spots = np.indices(block.shape).reshape(dims, -1) if zeros else np.array(np.nonzero(block)).reshape(dims, -1)
                 value = block[tuple(spots)]

@@ -297,3 +297,50 @@ def test_queries_give_components(spark, monkeypatch):
     assert {r.pair_id: r.num_components for r in got} == want
     assert catalogue.QUERIES["volume_stats"](spark, "").first().mean_components == round(sum(want.values()) / 3, 6)
     assert "num_components" in catalogue.QUERIES["high_volume"](spark, "").columns
+
+
+@pytest.mark.parametrize("background", [False, True])
+def test_features_of_stores_that_lack_chunks(spark, tmp_path, background):
+    """Against full arrays: chunks of nothing but the fill value are left out of both stores."""
+    from lattica.plans import api
+
+    r = np.random.default_rng(8)
+    label, raw = r.integers(0, 4, (5, 6, 9)).astype("<u2"), r.integers(0, 9, (2, 5, 6, 9)).astype("<f4")
+    label[:4, :4, 4:8], label[:4, 4:, :4] = 0, 0
+    raw[:, :4, :4, :4], raw[1, 4:] = 2.5, 2.5
+    label[0, 0, 0] = 7  # wholly in a chunk that the channels lack
+
+    def store(name, data, chunks, fill):
+        top = tmp_path / name / "0"
+        top.mkdir(parents=True)
+        (top / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": data.shape, "chunks": chunks, "dtype": data.dtype.str, "compressor": None, "fill_value": fill, "order": "C", "filters": None}))
+        left_out = 0
+        for at in itertools.product(*(range(-(-s // c)) for s, c in zip(data.shape, chunks))):
+            part = data[tuple(slice(k * c, (k + 1) * c) for k, c in zip(at, chunks))]
+            block = np.full(chunks, fill, data.dtype)
+            block[tuple(map(slice, part.shape))] = part
+            if (part == fill).all():
+                left_out += 1
+            else:
+                (top / ".".join(map(str, at))).write_bytes(block.tobytes())
+        assert left_out >= 2
+        return str(tmp_path / name)
+
+    got = api.extract_features_3d(spark, store("s", label, (4, 4, 4), 0), store("r", raw, (1, 4, 4, 4), 2.5), include_background=background, object_id_column="cell").collect()
+    assert [x.cell for x in got] == [k for k in (0, 1, 2, 3, 7) if k or background]
+    for x in got:
+        assert x.voxel_count == (label == x.cell).sum()
+        for c in range(2):
+            v = raw[c][label == x.cell].astype(float)
+            assert [x[f"channel_{c}_{k}"] for k in ("sum", "mean", "std", "min", "max", "nonzero_fraction")] == pytest.approx([v.sum(), v.mean(), v.std(), v.min(), v.max(), (v != 0).mean()])
+
+
+def test_fill_values(spark, tmp_path):
+    from lattica.sources.zarr import _fill
+
+    assert [_fill(v, np.dtype("<f4")) for v in (None, 3, "-Infinity", True, "0x40200000")] == [0, 3, -math.inf, 1, 2.5] and math.isnan(_fill("NaN", np.dtype("<f4")))
+    (tmp_path / "0").mkdir()
+    (tmp_path / "0" / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": [2, 3, 5], "chunks": [2, 2, 2], "dtype": "<u2", "compressor": None, "fill_value": 6, "order": "C", "filters": None}))
+    found = zarr.arrays(spark, str(tmp_path))
+    got = zarr.labels(spark, str(tmp_path), found["0"], box=((0, 2), (1, 3), (0, 5))).collect()
+    assert sorted(tuple(x) for x in got) == [(z, y, x, 6) for z in range(2) for y in (1, 2) for x in range(5)]
