@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Records in one Arrow batch. With texts of up to a few hundred KB a batch stays well below a worker's memory.
-BATCH_RECORDS = 1000
+from lattica.session import shared_dir
+
+#: Most records and bytes of one Arrow batch (a single longer row is a batch of its own).
+BATCH_RECORDS, BATCH_BYTES = 1000, 4 << 20
 
 #: A word: a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,18 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, records: int = BATCH_RECORDS) -> None:
-    """Bound the Arrow batches that Python functions of this session get."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="lattica-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python functions of this session get, by records and by bytes. Lazy results are planned
+    after this returns, so the bounds stay in the session; a lower bound that is set already is left."""
+    for name, most in (("maxRecordsPerBatch", BATCH_RECORDS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,19 +37,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
+    out._scratch = [path]
     return out
 
 
+def needs(df: DataFrame, *frames: DataFrame) -> DataFrame:
+    """`df`, whose reader may discard() the written tables it is computed from together with it."""
+    df._scratch = [p for f in frames for p in getattr(f, "_scratch", [])]
+    return df
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what written() has written for these frames; nothing that is still to be computed may need them."""
     for df in frames:
-        path = getattr(df, "_scratch", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+        for path in getattr(df, "_scratch", []):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-            df._scratch = None
+        df._scratch = []
 
 
 def word_count(text) -> F.Column:

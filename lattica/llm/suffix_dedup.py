@@ -5,19 +5,22 @@ share a window must meet, without every suffix travelling:
 
 1. Anchors. In each window the `GRAM`-byte string with the least hash (the leftmost, of equal ones) is the window's
    anchor. Equal windows have equal anchors at equal offsets, and the windows of one anchor are a stretch of starts, whose
-   bytes are the anchor's context. What travels is one hash of the gram and one of the context for each anchor, about one
-   in 85 bytes.
-2. Anchors whose gram occurs once have no repeated window. Of those whose whole context occurs again, all windows are
-   repeated. Only the others (the ends of shared passages) have to be looked into: their contexts, one of each, go into
-   shards by gram.
+   bytes are the anchor's context. What travels first is one hash of the gram and one of the context for each anchor, about
+   one in 85 bytes. Anchors whose gram occurs once have no repeated window.
+2. Of each other context one copy goes on (with a mark, if there are several), so a passage that a third of all texts hold
+   costs no more than one that two hold. Grams are dealt to families of bounded size; a family is cut into shards.
 3. Each shard builds its suffix array by Larsson-Sadakane refinement in numpy (groups that are settled are not sorted
-   again), the common prefixes of neighbours by Kasai's algorithm, run for all contexts at once, and reads off windows
-   that occur twice.
-4. A gram with more contexts than a shard may hold is dealt out over several; these shards also give the sorted hashes of
-   their windows, and shards are merged by binary search of each one's hashes in the others'.
-
-Hashes of grams decide nothing by themselves; equality of contexts and of windows across shards rests on 64 bits of gram
-and 64 or 128 of content.
+   again) and the common prefixes of neighbours by Kasai's algorithm, run for all contexts at once; suffixes that agree in
+   `LENGTH` bytes are one window, and the shard's distinct windows, in order, are its run.
+4. Runs are merged two by two: the windows of one are searched in the other by bisection, eight bytes at a time inside the
+   places that agree so far. Windows that meet, or that a shard or a marked context has twice, are repeated.
+5. A gram whose contexts alone are more than a family gets shards of its own, in tasks of their own; these give hashes of
+   their windows, in order, and the merge, dealt out by parts of the hash, bisects those.
+6. What is found of a context holds for all its copies; contexts with very many copies, of which there can be but few, are
+   met by a broadcast.
+
+Hashes of grams and contexts route and join copies, equality of copies rests on 64 bits of gram and 64 of context; whether
+a window is repeated is decided by the suffix arrays and their merge (in 5 by 128 bits).
 
 Defined cases: a null text is empty; texts shorter than `LENGTH` lose nothing; repeated rows are texts of their own and so
 remove each other where long enough; removal can cut a character of several bytes, so kept text is given as bytes, its
@@ -36,11 +39,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import discard, small_batches, written
+from lattica.llm.common import discard, needs, small_batches, written
 
 LENGTH, GRAM = 200, 32
-#: Contexts that one shard holds at most (some 350 bytes each), and bytes that are hashed at once.
-SHARD_CONTEXTS, STRIDE = 8_000, 1 << 22
+#: Bytes of contexts (some 350 each) of one shard, shards of a family, and bytes that are hashed at once.
+SHARD_BYTES, FAMILY_SHARDS, STRIDE = 1 << 19, 4, 1 << 20
+#: A context has very many copies beyond this number and beyond this share of all anchors, so of those there are at most as
+#: many as the share's inverse.
+HOT_COPIES, HOT_SHARE = 4096, 1e-4
 #: Most bytes of spans that are broadcast to meet their texts; beyond it they are joined.
 BROADCAST_BYTES = 48 << 20
 
@@ -171,75 +177,180 @@ def kasai(data: np.ndarray, sa: np.ndarray, starts: np.ndarray, most: int) -> np
     return out
 
 
-def repeated(contexts: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the first windows[i] starts of each context: which context, which start, and whether the window there occurs at
-    another such start; in suffix order."""
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    sizes = np.array([len(c) for c in contexts], np.int64)
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, first byte first; beyond the end, zeros."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
+    out = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        out = out << np.uint64(8) | padded[k : k + len(data)]
+    return out
+
+
+class Run:
+    """Distinct windows of some shards: their places in the family's bytes, in the windows' order, and their numbers."""
+
+    def __init__(self, at: np.ndarray, number: np.ndarray):
+        self.at, self.number = at, number
+
+
+def _bisected(words: np.ndarray, at: np.ndarray, step: int, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray, after: bool) -> np.ndarray:
+    """First place of each range [lo, hi) of `at` whose word is not below (after: above) the one that is wanted."""
+    lo, hi = lo.copy(), hi.copy()
+    live = np.flatnonzero(lo < hi)
+    while len(live):
+        middle = (lo[live] + hi[live]) >> 1
+        word = words[at[middle] + step]
+        up = word <= wanted[live] if after else word < wanted[live]
+        lo[live[up]] = middle[up] + 1
+        hi[live[~up]] = middle[~up]
+        live = live[lo[live] < hi[live]]
+    return lo
+
+
+def merged(words: np.ndarray, a: Run, b: Run, many: np.ndarray) -> Run:
+    """Both runs as one; windows of both are marked in `many`, by number."""
+    first = words[b.at]
+    lo, hi = (np.searchsorted(first, words[a.at], side) for side in ("left", "right"))
+    live = np.flatnonzero(lo < hi)
+    for step in range(8, LENGTH, 8):
+        wanted = words[a.at[live] + step]
+        at_lo, at_hi = lo[live], hi[live]
+        # where one place is left, it agrees or not
+        lone = at_hi - at_lo == 1
+        keep = np.ones(len(live), bool)
+        keep[lone] = words[b.at[at_lo[lone]] + step] == wanted[lone]
+        wide = np.flatnonzero(~lone)
+        lo[live[wide]] = _bisected(words, b.at, step, at_lo[wide], at_hi[wide], wanted[wide], False)
+        hi[live[wide]] = _bisected(words, b.at, step, at_lo[wide], at_hi[wide], wanted[wide], True)
+        live = live[keep & (lo[live] < hi[live])]
+    twin = lo[live]
+    many[a.number[live]] = True
+    many[b.number[twin]] = True
+    # of b, only windows that a lacks go on, to where they belong: before the first of a that is above them
+    left = np.ones(len(b.at), bool)
+    left[twin] = False
+    left = np.flatnonzero(left)
+    before = _placed(words, a, b.at[left])
+    return Run(np.insert(a.at, before, b.at[left]), np.insert(a.number, before, b.number[left]))
+
+
+def _placed(words: np.ndarray, a: Run, at: np.ndarray) -> np.ndarray:
+    """Where windows that `a` lacks belong in it."""
+    first = words[a.at]
+    lo, hi = (np.searchsorted(first, words[at], side) for side in ("left", "right"))
+    live = np.flatnonzero(lo < hi)
+    for step in range(8, LENGTH, 8):
+        if not len(live):
+            break
+        wanted = words[at[live] + step]
+        x, y = lo[live], hi[live]
+        lo[live] = _bisected(words, a.at, step, x, y, wanted, False)
+        hi[live] = _bisected(words, a.at, step, x, y, wanted, True)
+        live = live[lo[live] < hi[live]]
+    return lo
+
+
+def shard_run(data: np.ndarray, sizes: np.ndarray, windows: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one shard's contexts, back to back in `data`, of which the first windows[i] starts count: those starts in suffix
+    order, the number of each one's window, and by number whether it is there twice."""
     starts = np.cumsum(sizes) - sizes
     sa = suffix_array(data)  # to the end: Kasai's walk needs the true order
     common = kasai(data, sa, starts, LENGTH)
-    owner = np.repeat(np.arange(len(contexts)), sizes)
-    offset = np.arange(len(data)) - starts[owner]
-    real = (offset < windows[owner])[sa]
-    group = np.cumsum(common[sa] < LENGTH)  # suffixes with the same first LENGTH bytes
-    many = np.bincount(group, real)[group] > 1
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    real = ((np.arange(len(data)) - starts[owner]) < windows[owner])[sa]
+    group = np.cumsum(common[sa] < LENGTH)[real]  # suffixes with the same first LENGTH bytes
     at = sa[real]
-    return owner[at], offset[at], many[real]
-
-
-def merged(runs: list[np.ndarray]) -> list[np.ndarray]:
-    """For each shard's sorted hashes, which of them another shard has: by binary search in the others."""
-    out = []
-    for i, run in enumerate(runs):
-        hit = np.zeros(len(run), bool)
-        for j, other in enumerate(runs):
-            if i != j and len(other):
-                at = np.searchsorted(other, run)
-                hit |= (at < len(other)) & (other[np.minimum(at, len(other) - 1)] == run)
-        out.append(hit)
-    return out
-
-
-def _spans(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive starts of one row: row, first, last."""
-    order = np.lexsort((start, row))
-    row, start = row[order], start[order]
-    new = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))) if len(row) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    last = np.concatenate((at[1:], [len(row)])) - 1 if len(at) else at
-    return row[at], start[at], start[last]
+    number = np.cumsum(np.concatenate(([0], (np.diff(group) != 0).astype(np.int64)))) if len(group) else group
+    return at, number, np.bincount(number, 1 + twice[owner[at]]) > 1
 
 
-def _shard(t: pa.Table, with_hashes: bool) -> pa.Table:
-    """The repeated windows of one shard as spans; with_hashes: all its windows, for the merge."""
+def repeated(contexts: list[bytes], windows: np.ndarray, twice: np.ndarray, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the first windows[i] starts of each context, of which twice[i] says whether there are copies: which context, which
+    start, and whether the window there occurs at another such start."""
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    ends = np.cumsum(sizes)
+    words = words_of(data)
+    shard = (ends - sizes) // shard_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(sizes)]
+    ats, numbers, many, runs = [], [], [], []
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        lo, seen = int(ends[x] - sizes[x]), sum(map(len, many))
+        at, number, some = shard_run(data[lo : ends[y - 1]], sizes[x:y], windows[x:y], twice[x:y])
+        ats.append(at + lo)
+        numbers.append(number + seen)
+        many.append(some)
+        if len(at):
+            first = np.concatenate(([0], np.flatnonzero(np.diff(number)) + 1))
+            runs.append(Run(ats[-1][first], numbers[-1][first]))
+    at, number, many = (np.concatenate(v) for v in (ats, numbers, many))
+    while len(runs) > 1:
+        runs = [merged(words, *runs[k : k + 2], many) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), 2)]
+    owner = np.searchsorted(ends, at, "right")
+    return owner, at - (ends - sizes)[owner], many[number]
+
+
+def merged_hashes(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of several runs (sorted distinct hashes, whether each is there twice) as one run: two by two,
+    the hashes of one searched in the other by bisection."""
+    while len(runs) > 1:
+        out = []
+        for k in range(0, len(runs), 2):
+            if k + 1 == len(runs):
+                out.append(runs[k])
+                continue
+            (x, many_x), (y, many_y) = runs[k : k + 2]
+            at = np.searchsorted(x, y)
+            same = (at < len(x)) & (x[np.minimum(at, len(x) - 1)] == y)
+            many_x = many_x.copy()
+            many_x[at[same]] = True
+            out.append((np.insert(x, at[~same], y[~same]), np.insert(many_x, at[~same], many_y[~same])))
+        runs = out
+    return runs[0]
+
+
+def _spans(gram: np.ndarray, context: np.ndarray, owner: np.ndarray, start: np.ndarray) -> pa.Table:
+    """Starts of contexts (by number in `gram` and `context`) as arrays of runs of consecutive starts, packed."""
+    order = np.lexsort((start, owner))
+    owner, start = owner[order], start[order]
+    at = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)))) if len(owner) else np.zeros(0, np.int64)
+    last = np.concatenate((at[1:], [len(owner)])) - 1 if len(at) else at
+    packed, owner = (start[at] << 32) + start[last], owner[at]
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else at
+    spans = pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(owner)])), pa.int32()), pa.array(packed, pa.int64()))
+    return pa.table({"gram": gram[owner[first]], "context": context[owner[first]], "spans": spans})
+
+
+def _family(t: pa.Table, shard_bytes: int) -> pa.Table:
+    """The repeated windows of a family's contexts, as spans of each."""
+    t = t.sort_by([("context", "ascending"), ("gram", "ascending")])  # any order that says nothing of the text
+    owner, start, many = repeated(t["data"].to_pylist(), t["windows"].to_numpy(), t["twice"].to_numpy().astype(bool), shard_bytes)
+    return _spans(t["gram"].to_numpy(), t["context"].to_numpy(), owner[many], start[many])
+
+
+def _hashed(t: pa.Table) -> pa.Table:
+    """All windows of one shard of a gram that has several, with their hashes."""
     contexts = t["data"].to_pylist()
-    row, lo = (t[c].to_numpy() for c in ("row", "lo"))
-    which, offset, many = repeated(contexts, t["windows"].to_numpy())
-    if with_hashes:
-        # windows that this shard has once: their hashes go on to the merge; of repeated ones, one start tells the others
-        hashes = [xxhash.xxh3_128_digest(contexts[i][o : o + LENGTH]) for i, o in zip(which.tolist(), offset.tolist(), strict=True)]
-        return pa.table({"gram": t["gram"].to_numpy()[which], "row": row[which], "start": lo[which] + offset, "shard": np.repeat(t["shard"].to_numpy()[0], len(which)), "hash": pa.array(hashes, pa.binary()), "many": many})
-    r, a, b = _spans(row[which[many]], (lo[which] + offset)[many])
-    return pa.table({"row": pa.array(r, pa.int64()), "lo": pa.array(a, pa.int64()), "hi": pa.array(b, pa.int64())})
+    owner, start, many = repeated(contexts, t["windows"].to_numpy(), t["twice"].to_numpy().astype(bool), 1 << 62)
+    hashes = [xxhash.xxh3_128_digest(contexts[i][o : o + LENGTH]) for i, o in zip(owner.tolist(), start.tolist(), strict=True)]
+    whole = lambda c: np.full(len(owner), t[c][0].as_py())
+    return pa.table({"gram": t["gram"].to_numpy()[owner], "context": t["context"].to_numpy()[owner], "start": start, "shard": whole("shard"), "shards": whole("shards"), "hash": pa.array(hashes, pa.binary()), "many": many})
 
 
 def _merge(t: pa.Table) -> pa.Table:
-    """The windows of several shards of one gram that are repeated, as spans."""
-    shard = t["shard"].to_numpy()
-    hashes = np.array([int.from_bytes(x[:8]) for x in t["hash"].to_pylist()], np.uint64), np.array([int.from_bytes(x[8:]) for x in t["hash"].to_pylist()], np.uint64)
-    found = t["many"].to_numpy(zero_copy_only=False).copy()
-    # a number for each hash of 128 bits, in their order
-    order = np.lexsort(hashes[::-1])
-    new = np.concatenate(([False], (np.diff(hashes[0][order]) != 0) | (np.diff(hashes[1][order]) != 0))) if len(order) else np.zeros(0, bool)
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new)
-    places = [np.flatnonzero(shard == s) for s in np.unique(shard)]
-    places = [at[np.argsort(number[at], kind="stable")] for at in places]
-    for at, hit in zip(places, merged([number[at] for at in places]), strict=True):
-        found[at] |= hit
-    r, a, b = _spans(t["row"].to_numpy()[found], t["start"].to_numpy()[found])
-    return pa.table({"row": pa.array(r, pa.int64()), "lo": pa.array(a, pa.int64()), "hi": pa.array(b, pa.int64())})
+    """The windows of several shards of one gram that are repeated, as spans of contexts."""
+    shard, many = t["shard"].to_numpy(), t["many"].to_numpy(zero_copy_only=False)
+    hashes = np.array(t["hash"].to_pylist(), "S16")  # of one length, so no zero at an end is lost
+    runs = []
+    for s in np.unique(shard):
+        of = shard == s
+        run, first = np.unique(hashes[of], return_index=True)
+        runs.append((run, many[of][first]))
+    run, known = merged_hashes(runs)
+    found = known[np.searchsorted(run, hashes)]
+    gram, context, start = (t[c].to_numpy()[found] for c in ("gram", "context", "start"))
+    names, owner = np.unique(context, return_inverse=True)
+    return _spans(np.full(len(names), t["gram"][0].as_py()), names, owner, start)
 
 
 def cut_out(data: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int]:
@@ -265,7 +376,7 @@ def _joined(texts: DataFrame, spans: DataFrame, column: str, each: int) -> DataF
     return texts.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "row", "left")
 
 
-def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept_sha256"), extra: tuple[str, ...] = (), shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
+def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept_sha256"), extra: tuple[str, ...] = (), shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """`id_col`, the columns of `extra`, and of `keep`: n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of
     the remaining bytes), kept (the remaining text, without incomplete characters), for every row."""
     spark = docs.sparkSession
@@ -288,38 +399,44 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols, (np.int64, np.int32, np.int32, np.int64, np.int64), strict=True)], ["row", "lo", "hi", "gram", "context"])
 
     marks = written(texts.filter(F.length("data") >= LENGTH).select("row", "data").mapInArrow(cut, "row long, lo int, hi int, gram long, context long"), "anchors")
-    # grams that occur again, and whether with one context or several; written, so that the join below has an exchange on
-    # both sides and adaptive execution can split a frequent gram's rows over tasks
-    grams = marks.groupBy("gram").agg(F.count("*").alias("c"), (F.min("context") != F.max("context")).alias("several")).filter("c > 1").select("gram", "several")
-    grams = written(grams, "grams")
+    # written, so that the join below has an exchange on both sides and adaptive execution can split a frequent gram's rows
+    grams = written(marks.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"), "grams")
     again = written(marks.join(grams, "gram"), "again")
     discard(marks, grams)
-    counted = again.filter("several").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo")).alias("one"))
-    counted = written(counted, "contexts")
-    whole = again.filter(~F.col("several")).select("row", "lo", "hi")
-    whole = whole.union(again.filter("several").join(counted.filter("n > 1"), ["gram", "context"]).select("row", "lo", "hi"))
-
-    # one context of each kind goes to its gram's shard; a gram with very many has several
-    most = counted.groupBy("gram").agg(F.count("*").alias("kinds"))
-    picked = again.filter("several").join(counted.select("gram", "context", "one"), ["gram", "context"]).filter("row = one.row and lo = one.lo").join(most, "gram")
-    n_contexts = counted.count()
-    deal = max(1, -(-2 * n_contexts // shard_contexts))
-    shards = F.ceil(F.col("kinds") / F.lit(shard_contexts)).cast("long")
-    # of a gram that has several shards the number is negative
-    shard = F.when(shards > 1, -1 - F.pmod(F.xxhash64("gram", F.pmod("context", shards)), F.lit(1 << 60))).otherwise(F.pmod(F.xxhash64("gram"), F.lit(deal)))
-    picked = picked.select("row", F.struct(_packed("lo", "hi").alias("at"), "gram", shard.alias("shard")).alias("x")).groupBy("row").agg(F.collect_list("x").alias("xs"))
-    picked = written(picked.select("row", *(F.col(f"xs.{c}").alias(c) for c in ("at", "gram", "shard"))), "picked")
-    held = _joined(texts.select("row", "data"), picked, "at", 24).filter("at is not null").select("row", "data", F.explode(F.arrays_zip("at", "gram", "shard")).alias("x"))
+    counted = again.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi")).alias("one"))
+    counted = written(counted.select("gram", "context", "n", "one.*"), "contexts")
+
+    # one of each kind goes to its gram's family; a gram that is more than a family goes to shards of its own
+    size = F.sum((F.col("hi") - F.col("lo") + LENGTH).cast("long"))
+    whole = counted.agg(size.alias("bytes"), F.sum("n").alias("n")).first()
+    family_bytes = FAMILY_SHARDS * shard_bytes
+    families = max(1, -(-2 * (whole.bytes or 0) // family_bytes))
+    most = written(counted.groupBy("gram").agg(size.alias("bytes")).filter(F.col("bytes") > family_bytes).select("gram", F.ceil(F.col("bytes") / shard_bytes).cast("long").alias("shards")), "most")
+    shard = F.when(F.col("shards").isNull(), F.pmod(F.xxhash64("gram"), F.lit(families))).otherwise(-1 - F.pmod(F.xxhash64("gram", F.pmod("context", "shards")), F.lit(1 << 60)))
+    # there are at most bytes / family_bytes grams of that size, some 16 bytes each
+    dealt = counted.join(F.broadcast(most) if 16 * (whole.bytes or 0) // family_bytes <= BROADCAST_BYTES else most, "gram", "left")
+    items = ("at", "gram", "context", "twice", "shard", "shards")
+    dealt = dealt.select("row", F.struct(_packed("lo", "hi").alias("at"), "gram", "context", (F.col("n") > 1).cast("int").alias("twice"), shard.alias("shard"), "shards").alias("x"))
+    picked = written(dealt.groupBy("row").agg(F.collect_list("x").alias("xs")).select("row", *(F.col(f"xs.{c}").alias(c) for c in items)), "picked")
+    held = _joined(texts.select("row", "data"), picked, "at", 44).filter("at is not null").select("data", F.explode(F.arrays_zip(*items)).alias("x"))
     lo, hi = F.shiftright("x.at", 32), F.col("x.at").bitwiseAND((1 << 32) - 1)
-    held = held.select("row", lo.alias("lo"), (hi - lo + 1).alias("windows"), "x.gram", "x.shard", F.substring("data", (lo + 1).cast("int"), (hi - lo + LENGTH).cast("int")).alias("data"))
+    held = held.select((hi - lo + 1).alias("windows"), *(f"x.{c}" for c in items[1:]), F.substring("data", (lo + 1).cast("int"), (hi - lo + LENGTH).cast("int")).alias("data"))
     held = written(held, "held")
-    few, many = held.filter("shard >= 0"), held.filter("shard < 0")
-    span = "row long, lo long, hi long"
-    found = few.groupBy("shard").applyInArrow(lambda b: _shard(b, False), span)
-    if many.head(1):
-        hashed = many.groupBy("shard").applyInArrow(lambda b: _shard(b, True), "gram long, row long, start long, shard long, hash binary, many boolean")
-        hashed = hashed.withColumn("part", F.substring("hash", 1, 2))  # equal windows have equal hashes: parts of bounded size
-        found = found.union(hashed.groupBy("gram", "part").applyInArrow(_merge, span))
+    few, many = held.filter("shards is null"), held.filter("shards is not null")
+    span = "gram long, context long, spans array<long>"
+    found = few.drop("shards").groupBy("shard").applyInArrow(lambda t: _family(t, shard_bytes), span)
+    if most.head(1):
+        hashed = many.groupBy("shard").applyInArrow(_hashed, "gram long, context long, start long, shard long, shards long, hash binary, many boolean")
+        hashed = hashed.withColumn("part", F.pmod(F.xxhash64("hash"), "shards"))  # equal windows have equal hashes: as many parts as shards
+        merging = hashed.groupBy("gram", "part").applyInArrow(_merge, span)
+        found = found.union(merging.groupBy("gram", "context").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    found = written(found, "found")
+
+    # to all copies of each context
+    hot = counted.filter(F.col("n") > max(HOT_COPIES, HOT_SHARE * (whole.n or 0))).select("gram", "context")
+    key = ["gram", "context"]
+    met = again.join(F.broadcast(hot), key, "left_anti").join(found, key).select("row", "lo", "spans")
+    met = met.union(again.join(F.broadcast(found.join(F.broadcast(hot), key, "left_semi")), key).select("row", "lo", "spans"))
 
     def joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -333,10 +450,11 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 out.append((x[at, 0] << 32) + end[np.concatenate((at[1:], [len(x)])) - 1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["row", "spans"])
 
-    spans = whole.select("row", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).union(found)
-    spans = spans.groupBy("row").agg(F.collect_list(_packed("lo", "hi")).alias("spans")).mapInArrow(joined_up, "row long, spans array<long>")
+    # places in a context become places in the text
+    moved = met.select("row", F.transform("spans", lambda x: x + F.shiftleft(F.col("lo").cast("long"), 32) + F.col("lo")).alias("spans"))
+    spans = moved.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")).mapInArrow(joined_up, "row long, spans array<long>")
     spans = written(spans, "spans")
-    discard(again, counted, picked, held)
+    discard(again, counted, most, picked, held, found)
     kinds = {"n_bytes": ("long", pa.int64()), "n_removed": ("long", pa.int64()), "n_spans": ("long", pa.int64()), "kept_sha256": ("string", pa.string()), "kept": ("string", pa.string())}
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,4 +469,5 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     rows = _joined(texts, spans, "spans", 8).select("data", "spans", "id", *(f"own_{c}" for c in extra))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:]), *(f"new_{k} {kinds[k][0]}" for k in keep)])
-    return rows.mapInArrow(finish, schema).select(F.col("id").alias(id_col), *(F.col(f"own_{c}").alias(c) for c in extra), *(F.col(f"new_{k}").alias(k) for k in keep))
+    out = rows.mapInArrow(finish, schema).select(F.col("id").alias(id_col), *(F.col(f"own_{c}").alias(c) for c in extra), *(F.col(f"new_{k}").alias(k) for k in keep))
+    return needs(out, texts, spans)

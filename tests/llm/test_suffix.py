@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import suffix_dedup
-from lattica.llm.suffix_dedup import LENGTH, anchors, kasai, merged, repeats_removed, suffix_array
+from lattica.llm.suffix_dedup import LENGTH, anchors, kasai, merged_hashes, repeated, repeats_removed, suffix_array
 
 
 def brute(texts):
@@ -74,20 +74,63 @@ def test_strides_change_nothing(monkeypatch):
     assert {(s, g) for x, y, p, g in zip(*anchors(t)) for s in range(x, y + 1)} == want
 
 
-def test_merge():
-    got = merged([np.array([1, 3, 5]), np.array([], int), np.array([3, 4]), np.array([5, 9])])
-    assert [x.tolist() for x in got] == [[False, True, True], [], [True, False], [True, False]]
+def test_hashes_merge():
+    runs = [(np.array([1, 3, 5]), np.array([False, False, True])), (np.array([], int), np.array([], bool)), (np.array([3, 4]), np.array([False, False])), (np.array([4, 5, 9]), np.array([False] * 3))]
+    run, many = merged_hashes(runs)
+    assert run.tolist() == [1, 3, 4, 5, 9] and many.tolist() == [False, True, True, True, False]
 
 
-@pytest.mark.parametrize("shard", [16_000, 3])
-def test_whole(spark, shard):
+@pytest.mark.parametrize("shard", [1 << 19, 5000, 300])
+def test_runs_merge(shard):
+    """Windows of contexts by suffix arrays of one, some and very many shards, against counting."""
+    r = random.Random(shard)
+    datas = [(t or "").encode() for t in corpus(11)]
+    contexts, windows = [], []
+    for d in datas:
+        for x, y, *_ in zip(*anchors(d)):
+            contexts.append(d[x : y + LENGTH])
+            windows.append(y - x + 1)
+    twice = np.array([r.random() < 0.02 for _ in contexts])
+    seen = Counter()
+    for c, n, t in zip(contexts, windows, twice):
+        for o in range(n):
+            seen[c[o : o + LENGTH]] += 1 + t
+    owner, start, many = repeated(contexts, np.array(windows), twice, shard)
+    assert sorted(zip(owner.tolist(), start.tolist())) == [(i, o) for i, n in enumerate(windows) for o in range(n)]
+    assert [bool(m) for m in many] == [seen[contexts[i][o : o + LENGTH]] > 1 for i, o in zip(owner, start)]
+
+
+@pytest.mark.parametrize("shard", [1 << 19, 20_000, 2_000])
+def test_whole(spark, shard, monkeypatch):
+    """With one shard, with several of a family, and with grams that are more than a family; in the last, with contexts that
+    count as very many copies."""
+    if shard == 2_000:
+        monkeypatch.setattr(suffix_dedup, "HOT_COPIES", 2)
+        monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 0)
+        monkeypatch.setattr(suffix_dedup, "FAMILY_SHARDS", 2)
     texts = corpus(7)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("row", F.lit("x")).withColumn("data", F.lit(1))
-    got = {x.doc_id: tuple(x)[1:] for x in repeats_removed(df.repartition(3), shard_contexts=shard).collect()}
+    got = {x.doc_id: tuple(x)[1:] for x in repeats_removed(df.repartition(3), shard_bytes=shard).collect()}
     want = brute(texts)
     assert {i: got[i] for i in range(len(texts)) if got[i] != want[i]} == {} and len(got) == len(texts)
 
 
+def test_long_text(spark):
+    """A text longer than a stride, with a passage that comes again megabytes later."""
+    r = random.Random(5)
+    prose = "".join(r.choice("abcdefghij ") for _ in range(3 << 20))
+    text = prose[:2_500_000] + prose[100_000:100_700] + prose[2_500_000:]
+    got = repeats_removed(spark.createDataFrame([(1, text), (2, "z")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(x.n_bytes, x.n_spans) for x in got] == [(len(text), 2), (1, 0)]
+    assert 1400 <= got[0].n_removed <= 1410
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "k" * 300, 7, "s", "c"), (2, "n", 8, "t", "d")], "doc_id long, text string, row int, spans string, data string")
+    got = repeats_removed(df, keep=("kept",), extra=("row", "spans", "data")).orderBy("doc_id").collect()
+    assert [tuple(x) for x in got] == [(1, 7, "s", "c", ""), (2, 8, "t", "d", "n")]
+
+
 def test_shapes(spark):
     df = spark.createDataFrame([(None, "k" * 300), (None, None)], "doc_id long, text string")
     got = repeats_removed(df, keep=("kept", "n_removed"), extra=("text",)).collect()
