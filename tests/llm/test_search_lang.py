@@ -4,10 +4,11 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm.language_id import grams, language_id
-from lattica.llm.va_search import searched, va_search
+from lattica.llm.va_search import bounds, va_search
 
 
 def brute(rows, k):
@@ -29,7 +30,7 @@ def test_search(spark):
     rows += [(1000, None), (1050, [0.1, None, 0.2, 0.3]), (1100, [float("nan"), 0.0, 0.0, 0.0]), (1150, [float("inf")] * 4), (1200, []), (1250, [1.0, 2.0]), (1300, [0.5, 0.5]), (7, [1.0] * 4), (7, [1.0] * 4), (50, rows[50][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("v", F.lit(1))
     want = brute(rows, 5)
-    for opts in ({}, {"shard_rows": 40, "block_queries": 2}):
+    for opts in ({}, {"cells": 3, "block_bytes": 100}, {"cells": 2, "first_read": 1}):
         got = [tuple(x) for x in va_search(df, df.filter("vec_id % 50 = 0"), **opts).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert va_search(df.limit(0), df.limit(0)).count() == 0
@@ -37,17 +38,30 @@ def test_search(spark):
     assert [tuple(x) for x in va_search(few, few.filter("vec_id = 0")).collect()] == [(0, 1, 1, 256 * 512)]
 
 
-def test_bounds_hold_on_coarse_cells():
+def test_bounds_hold():
     g = np.random.default_rng(0)
-    exact = g.integers(-100, 100, (500, 8))
-    ids = np.arange(500)
-    width = 50.0
-    codes = np.floor((exact + 100) / width).astype(np.int64)
-    at, vec, score = searched(codes, exact, ids, exact[:20], ids[:20], 7, -100.0, width)
-    for q in range(20):
-        s = exact @ exact[q]
-        want = sorted((-s[i], i) for i in range(500) if i != q)[:7]
-        assert [(-b, a) for a, b in zip(vec[at == q], score[at == q])] == want
+    for size in (100, 2**30, 2**55):
+        exact = g.integers(-size, size, (300, 8))
+        edges = np.array([-size, -size // 2, 0, 1, size // 3, size], np.float64)
+        codes = np.searchsorted(edges, exact.astype(np.float64), "right") - 1
+        low, high = bounds(codes.clip(0, 4), edges, exact[:20].astype(np.float64))
+        for q in range(20):
+            for i in range(300):
+                assert low[q, i] <= sum(a * b for a, b in zip(exact[q].tolist(), exact[i].tolist())) <= high[q, i]
+
+
+def test_large_components(spark):
+    """No finite vector is left out; scores of up to 64 bits are exact; beyond, there is an error."""
+    r = random.Random(9)
+    rows = [(i, [r.choice([0.01, -0.02, 0.5]) if i % 50 == 0 else r.choice([1e8, -1e8, 3.0, 2.0**31]) for _ in range(4)]) for i in range(200)]
+    rows.append((201, [1e8 + 1, 1e8, 1e8, 1e8]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(x) for x in va_search(df, df.filter("vec_id % 50 = 0")).collect()}
+    assert got == brute(rows, 5) and max(x[3] for x in got) > 2**31
+    for bad in ([(0, [1e8] * 4), (1, [1e8] * 4)], [(0, [1e300]), (1, [1.0])]):
+        with pytest.raises(Exception, match="64 bits"):
+            df = spark.createDataFrame(bad, "vec_id long, embedding array<double>")
+            va_search(df, df.filter("vec_id = 0")).collect()
 
 
 LANG = {"en": "the house of the king and the queen was on that hill", "fr": "le château du roi et de la reine était sur cette colline", "de": "das haus des königs und der königin stand auf dem hügel", "es": "el castillo del rey y de la reina estaba en aquella colina"}
