@@ -1,10 +1,14 @@
 """Operator 5."""
 import itertools
 import random
+import time
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm.html_text import blocks, extracted, main_text, min_cut
+from lattica.llm.html_model import fitted, labelled
+from lattica.llm.html_text import CLIP, blocks, edges, extracted, features, main_text, min_cut
 
 ARTICLE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="home sidebar-left">
 <header class="site-header"><a href="/">The Site</a></header><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>
@@ -46,6 +50,78 @@ def test_broken():
     assert [b.text for b in blocks('<p title="a>b">x</p><p title=it\'s>y</p>')] == ["x", "y"]
 
 
+PROSE = "".join(f"<p>This is the paragraph number {i} of the text, which runs on for a while and then it ends.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<form id=aspnetForm><div>{PROSE}</div></form>",
+        f'<form id=f><div class="content">{PROSE}</div></form>',
+        f'<div class="page-header-wrap side-by-side">{PROSE}</div>',
+        f'<div class="legal-text">{PROSE}</div>',
+        f'<div class="elementor-widget elementor-widget-theme-post-content">{PROSE}</div>',
+        "<div>" + "<p>这是一个很长的段落，其中包含许多汉字，没有任何空格。</p>" * 5 + "</div>",
+        "<div><p>It rained.</p><p>We went home early.</p><p>Nobody minded.</p></div>",
+    ],
+)
+def test_named_like_boilerplate(page):
+    """Elements that hold the page's text are not judged by their names, nor texts by their spaces."""
+    assert main_text(f"<html><body>{page}</body></html>").split("\n\n") == [b.text for b in blocks(page)]
+
+
+def test_inside_the_article():
+    page = f'<main>{PROSE}<ol class="thread"><li>I think that this is wrong, and I said so before.</li><li>Great text, thanks for writing it.</li></ol></main>'
+    assert "Great" not in main_text(page) and main_text(page).count("\n\n") == 5
+    page = f'<article>{PROSE}<div class="box">Buy the best shoes today, only in our shop.</div><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>'
+    assert "Buy" not in main_text(page) and main_text(page).endswith("So x=2 holds.")
+
+
+def test_held_out_pages():
+    wrong = total = 0
+    for page, content in labelled(range(50_000, 50_100)):
+        got = set(main_text(page).split("\n\n"))
+        for b in blocks(page):
+            if b.text in content:
+                total += 1
+                wrong += (b.text in got) != content[b.text]
+    assert total > 1500 and wrong / total < 0.02
+
+
+def test_extraction_is_the_cheapest_labelling():
+    """Small pages against all labelings of their blocks."""
+    done = 0
+    for page, _ in labelled(range(60_000, 60_200)):
+        bs = blocks(page)
+        if not 2 <= len(bs) <= 11:
+            continue
+        done += 1
+        odds, links = np.clip(features(bs) @ fitted(), -CLIP, CLIP), edges(bs)
+
+        def cost(on):
+            return sum(max(s, 0) if not x else max(-s, 0) for s, x in zip(odds, on)) + sum(c for i, j, c in links if on[i] != on[j])
+
+        best = min(itertools.product([True, False], repeat=len(bs)), key=cost)
+        assert main_text(page) == "\n\n".join(b.text for b, x in zip(bs, best) if x)
+    assert done > 10
+
+
+def test_long_and_deep_pages_take_linear_time():
+    for unit in ("<div>text here ", "<svg>", "<p>Word is one.</p><p><a>x</a></p>", "<b>", "</i>", "<ul><li>", '<a href="'):
+        began = time.process_time()
+        main_text(unit * 2000)
+        small = time.process_time() - began
+        began = time.process_time()
+        main_text(unit * 16_000)
+        assert time.process_time() - began < 24 * max(small, 0.05), unit
+    deep = main_text("<div>" * 3000 + "".join(f"<p>Here is a text of some words, number {i}.</p>" for i in range(5)))
+    assert deep.count("\n\n") == 4
+
+
+def test_ties_are_boilerplate():
+    assert min_cut([0.0], []) == [False]
+
+
 def test_cut_is_minimal():
     r = random.Random(6)
     for _ in range(300):
