@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import small_batches
+from lattica.llm.common import hold, small_batches
 from lattica.llm.pretokens import CUT, plain
 
 #: Words and pairs that a worker keeps (some 400 and 100 bytes each), and the longest word that is kept.
@@ -217,6 +217,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
     kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("bpe_codec", codec.cache_clear)
         own = codec(tokenizer)
         for b in batches:
             out: dict[str, list] = {k: [] for k in keep}

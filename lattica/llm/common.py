@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,24 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Called in a Python worker by the operator `name`, before it fills tables that outlast a task and that `clear` drops:
+    workers serve one operator after another, and those of the others before it are dropped and their memory given back."""
+    others = [k for k in _held if k != name]
+    for k in others:
+        _held.pop(k)()
+    _held[name] = clear
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # only some C libraries have it
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and reread: lineage is cut and lost executors cost no recomputation."""
     spark = df.sparkSession

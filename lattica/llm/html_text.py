@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import small_batches
+from lattica.llm.common import hold, small_batches
 
 TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?(?=[\s/]|$)""", re.I)
@@ -415,6 +415,7 @@ def extracted(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "htm
     rows = pages.select(F.col(html_col).cast("string").alias("html_in"), F.col(id_col).alias("id_in"), *(F.col(c).alias(f"own_{c}") for c in extra))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("html_text", names_of.cache_clear)
         for b in batches:
             texts = [main_text(x.as_py(), own) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*b.schema.names[1:], "new_text", "new_chars"])

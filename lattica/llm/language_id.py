@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import small_batches
+from lattica.llm.common import hold, small_batches
 
 BUCKETS, SAMPLE_ROWS, SHARPNESS, SMOOTHING = 1 << 15, 20_000, 60.0, 0.5
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
@@ -102,6 +102,7 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     small_batches(labelled.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("language_id")
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -135,6 +136,7 @@ def predicted(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col
     first = 0 if text_col in extra else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("language_id")
         for b in batches:
             langs: list[str] = []
             scores: list[float] = []

@@ -7,7 +7,8 @@ key, so 2 * SIDE * 2 minhashes serve SIDE * SIDE tables. Half keys that only one
 In each bucket of a table, the class whose half keys are the most common is the leader, and every member is compared with
 it: the star's links. Connected components of these links settle nearly all members. What a star can't see are links
 between members of which one isn't linked to the leader; so members outside the leader's component meet those of other
-components in their bucket as well, each pair once, in the first table that it shares.
+components in their bucket as well, if their sizes are of the same or of neighbouring classes (a class is a factor of
+100 / percent, so sets that are similar enough never lie farther apart).
 
 Before full sets are compared, odd sketches rule pairs out, without error: a bit of a sketch is the parity of the members
 that hash to it, so the bits in which two sketches differ number at most the members in which the sets differ. So no bucket
@@ -22,6 +23,7 @@ are taken whole; an empty table gives an empty result; other columns are ignored
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import discard, small_batches, written
+from lattica.llm.common import discard, hold, small_batches, written
 
 #: Half keys of each collection, minhashes of a half key, words of a shingle, percent of the union that links.
 SIDE, ROWS, SHINGLE, PERCENT = 12, 2, 5, 75
@@ -101,6 +103,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, extra: tuple[str, ..
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), *(F.col(c).alias(f"own_{c}") for c in extra))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("minhash_dedup", _known.clear)
         for b in batches:
             n, cls, halves, sketch = [], [], [], []
             for t in b.column(0):
@@ -144,6 +147,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("minhash_dedup", _known.clear)
         for t in batches:
             hit = []
             for x, y in zip(t.column(2), t.column(3), strict=True):
@@ -178,6 +182,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, id_col: str, t
     rows = rows.join(ids, rows["doc"].eqNullSafe(ids["id"]), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("minhash_dedup", _known.clear)
         for b in batches:
             found = [shingles(t.as_py()) for t in b.column(0)]
             cls = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
@@ -202,12 +207,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     common = written(half.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "common")
     shared = half.join(common, "h").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("hs"), F.sum(F.log2("c")).alias("score"))
     left, right = F.filter("hs", lambda x: x["k"] < SIDE), F.filter("hs", lambda x: x["k"] >= SIDE)
-    keys = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.struct(F.xxhash64(a["h"], b["h"]).alias("key"), a["k"].alias("i"), b["k"].alias("j")))))
+    # a half key's hash depends on its place, so keys of different tables differ
+    keys = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.xxhash64(a["h"], b["h"]))))
     tables = written(shared.select("v", "score", keys.alias("ks")).filter("size(ks) > 0"), "keys")
-    rows = tables.select("v", "score", F.explode("ks").alias("x")).select("v", "score", "x.key", "x.i", "x.j")
+    rows = tables.select("v", "score", F.explode("ks").alias("key"))
     order = F.struct("score", (-F.col("v")).alias("w"))
     buckets = written(rows.groupBy("key").agg(F.count("*").alias("c"), (-F.max(order)["w"]).alias("a")).filter("c > 1"), "buckets")
-    members = rows.select("key", "v", "i", "j").join(buckets, "key")
+    members = rows.select("key", "v").join(buckets, "key")
 
     # stars
     facts = lambda c: classes.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
@@ -221,14 +227,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # the rest: members of a bucket that aren't in the leader's component
     comp_of = lambda c: comps.select(F.col("v").alias(c), F.col("comp").alias(f"comp_{c}"))
     tagged = members.filter("c > 2 and v <> a").join(comp_of("v"), "v", "left").join(comp_of("a"), "a", "left")
-    tagged = tagged.select("key", "v", "i", "j", F.coalesce("comp_v", "v").alias("comp"), F.coalesce("comp_a", "a").alias("of"))
+    tagged = tagged.select("key", "v", F.coalesce("comp_v", "v").alias("comp"), F.coalesce("comp_a", "a").alias("of"))
     outside = tagged.filter("comp <> of")
     inside = tagged.join(outside.select("key").distinct(), "key", "left_semi")
-    described = lambda df, c: df.join(classes, "v").select("key", *(F.col(x).alias(f"{x}_{c}") for x in ("v", "i", "j", "comp", "n", "halves", "sketch")))
-    first = lambda lo: F.array_position(F.zip_with(F.slice("halves_x", lo, SIDE), F.slice("halves_y", lo, SIDE), lambda x, y: x == y), True) - 1
-    once = (first(1) == F.col("i_x")) & (first(SIDE + 1) == F.col("j_x") - SIDE)
-    apart = (F.col("comp_x") != F.col("comp_y")) & _possible("x", "y", percent)
-    rest = described(outside, "x").join(described(inside, "y"), "key").filter(apart & once)
+    width = math.log(max(100 / percent, 1.01)) * (1 + 1e-9)  # no rounding makes a class too narrow
+    # of the members that meet, only sizes and sketches travel; full sets follow for the few pairs that these allow
+    described = lambda df, c: df.join(classes.select("v", "n", "sketch"), "v").select("key", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int").alias("size_class"), *(F.col(x).alias(f"{x}_{c}") for x in ("v", "comp", "n", "sketch")))
+    around = described(inside, "y").withColumn("size_class", F.explode(F.array(*[F.col("size_class") + k for k in (-1, 0, 1)])))
+    rest = described(outside, "x").join(around, ["key", "size_class"]).filter((F.col("comp_x") != F.col("comp_y")) & _possible("x", "y", percent))
     rest = written(rest.select(F.least("v_x", "v_y").alias("a"), F.greatest("v_x", "v_y").alias("b")).distinct(), "rest")
     if rest.head(1):
         missing = ends(rest).join(sets.select("v"), "v", "left_anti")

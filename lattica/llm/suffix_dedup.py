@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import discard, needs, small_batches, written
+from lattica.llm.common import discard, hold, needs, small_batches, written
 
 LENGTH, GRAM = 200, 32
 #: Bytes of contexts (some 350 each) of one shard, shards of a family, and bytes that are hashed at once.
@@ -52,6 +52,8 @@ BROADCAST_BYTES = 48 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: An XOR of two words below the k-th of these has k + 1 leading bytes of zero.
+_BELOW = np.array([1 << (56 - 8 * k) for k in range(8)], np.uint64)
 _POS = (1 << 23) - 1  # a position in a stride fits below the hash bits
 
 
@@ -117,7 +119,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(7):  # seven symbols of 9 bits: an end sorts before every byte
         key = key << np.uint64(9) | padded[k : k + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     ordered = key[sa]
     first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
     rank = np.empty(n + 1, np.int64)
@@ -133,7 +135,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         at = sa[tied]
         group = rank[at]
         follow = rank[np.minimum(at + h, n)]
-        order = np.argsort(group.astype(np.uint64) * np.uint64(n + 1) + (follow + 1).astype(np.uint64), kind="stable")
+        order = np.argsort(group.astype(np.uint64) * np.uint64(n + 1) + (follow + 1).astype(np.uint64))
         at, follow = at[order], follow[order]
         sa[tied] = at
         group = group[order]
@@ -143,6 +145,15 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         h *= 2
 
 
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, first byte first; beyond the end, zeros."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
+    out = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        out = out << np.uint64(8) | padded[k : k + len(data)]
+    return out
+
+
 def kasai(data: np.ndarray, sa: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
     """Common prefix, up to `most`, of each suffix with the one before it in sa, by place in the text.
 
@@ -153,8 +164,7 @@ def kasai(data: np.ndarray, sa: np.ndarray, starts: np.ndarray, most: int) -> np
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     ends = np.concatenate((starts[1:], [n]))
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    words = words_of(data)
     out = np.zeros(n, np.int64)
     lanes = np.arange(len(starts))
     h = np.zeros(len(starts), np.int64)
@@ -166,10 +176,12 @@ def kasai(data: np.ndarray, sa: np.ndarray, starts: np.ndarray, most: int) -> np
         live = np.flatnonzero((q >= 0) & (now < most))
         while len(live):
             a, b = p[live] + now[live], q[live] + now[live]
-            inside = np.maximum(a, b) < n
-            same = words[np.minimum(a, n - 1)] == words[np.minimum(b, n - 1)]
-            run = np.where(same.all(1), 8, same.argmin(1))
-            run = np.where(inside, np.minimum(run, n - np.maximum(a, b)), 0)
+            left = n - np.maximum(a, b)
+            differ = words[np.minimum(a, n - 1)] ^ words[np.minimum(b, n - 1)]
+            run = (differ < _BELOW[0]).astype(np.int64)  # bytes before the first that differs
+            for limit in _BELOW[1:]:
+                run += differ < limit
+            run = np.maximum(0, np.minimum(run, left))
             now[live] += run
             live = live[(run == 8) & (now[live] < most)]
         h[lanes] = np.minimum(now, most)
@@ -177,15 +189,6 @@ def kasai(data: np.ndarray, sa: np.ndarray, starts: np.ndarray, most: int) -> np
     return out
 
 
-def words_of(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as one number, first byte first; beyond the end, zeros."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
-    out = np.zeros(len(data), np.uint64)
-    for k in range(8):
-        out = out << np.uint64(8) | padded[k : k + len(data)]
-    return out
-
-
 class Run:
     """Distinct windows of some shards: their places in the family's bytes, in the windows' order, and their numbers."""
 
@@ -323,6 +326,7 @@ def _spans(gram: np.ndarray, context: np.ndarray, owner: np.ndarray, start: np.n
 
 def _family(t: pa.Table, shard_bytes: int) -> pa.Table:
     """The repeated windows of a family's contexts, as spans of each."""
+    hold("suffix_dedup")
     t = t.sort_by([("context", "ascending"), ("gram", "ascending")])  # any order that says nothing of the text
     owner, start, many = repeated(t["data"].to_pylist(), t["windows"].to_numpy(), t["twice"].to_numpy().astype(bool), shard_bytes)
     return _spans(t["gram"].to_numpy(), t["context"].to_numpy(), owner[many], start[many])
@@ -385,6 +389,7 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = written(base.withColumn("row", F.monotonically_increasing_id()), "texts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("suffix_dedup")
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
             for row, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -418,7 +423,7 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     items = ("at", "gram", "context", "twice", "shard", "shards")
     dealt = dealt.select("row", F.struct(_packed("lo", "hi").alias("at"), "gram", "context", (F.col("n") > 1).cast("int").alias("twice"), shard.alias("shard"), "shards").alias("x"))
     picked = written(dealt.groupBy("row").agg(F.collect_list("x").alias("xs")).select("row", *(F.col(f"xs.{c}").alias(c) for c in items)), "picked")
-    held = _joined(texts.select("row", "data"), picked, "at", 44).filter("at is not null").select("data", F.explode(F.arrays_zip(*items)).alias("x"))
+    held = texts.select("row", "data").join(picked, "row").select("data", F.explode(F.arrays_zip(*items)).alias("x"))
     lo, hi = F.shiftright("x.at", 32), F.col("x.at").bitwiseAND((1 << 32) - 1)
     held = held.select((hi - lo + 1).alias("windows"), *(f"x.{c}" for c in items[1:]), F.substring("data", (lo + 1).cast("int"), (hi - lo + LENGTH).cast("int")).alias("data"))
     held = written(held, "held")
@@ -458,6 +463,7 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kinds = {"n_bytes": ("long", pa.int64()), "n_removed": ("long", pa.int64()), "n_spans": ("long", pa.int64()), "kept_sha256": ("string", pa.string()), "kept": ("string", pa.string())}
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("suffix_dedup")
         for b in batches:
             out: dict[str, list] = {k: [] for k in keep}
             for data, xs in zip(b.column(0), b.column(1), strict=True):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import small_batches
+from lattica.llm.common import hold, small_batches
 from lattica.llm.pretokens import CUT, plain
 
 #: A single space between two characters that are not white space. In the byte-level pattern no token crosses into such a
@@ -124,6 +124,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("token_counts", counter.cache_clear)
         own = counter(tokenizer, cache_entries)
         for b in batches:
             column, sizes = b.column(1), [n or 0 for n in pa.compute.binary_length(b.column(1)).to_pylist()]
