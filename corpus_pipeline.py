@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe_codec, language_id, minhash_dedup, mixing, suffix_dedup
-from lattica.llm.common import discard, table, written
+from lattica.llm.common import discard, needs, table, written
 from lattica.llm.queries import TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,8 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # rows of files that don't change keep their numbers from one reading to the next
-    rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
+    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")  # numbers are given once
     judged = minhash_dedup.near_duplicates(rows.select("doc_id", "text", "row"), extra=("row",))
     # rows that repeat a kept document: the first of each component stays; components may share an id, or have none
     group = judged.filter("kept and comp is not null")
@@ -45,8 +44,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = judged.filter("not kept").select("row").union(again)
     gone = written(gone, "gone")
     discard(judged)
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
+    hint = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return needs(rows.join(hint, "row", "left_anti").select(*COLUMNS), rows, gone)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,8 +74,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs_in, docs = docs, stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            before, docs = docs_in, written(docs, name)
-            discard(before)
+            made, docs = docs, written(docs, name)
+            discard(before, made)
     return docs

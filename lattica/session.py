@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -21,7 +22,7 @@ def ship(spark: SparkSession) -> None:
     top = Path(__file__).resolve().parents[1]
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in [*sorted((top / "lattica").rglob("*.py")), *top.glob("corpus_pipeline.py")]:
+        for p in sorted((top / "lattica").rglob("*.py")):
             z.write(p, p.relative_to(top))
     path = Path(tempfile.mkdtemp(prefix="lattica-")) / "lattica.zip"
     path.write_bytes(data.getvalue())
@@ -30,9 +31,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local folder in local mode, and
+    an error on a cluster, whose machines would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lattica-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
