@@ -127,7 +127,12 @@ def va_search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: int
     spark = vectors.sparkSession
     small_batches(spark)
     useful = lambda df: df.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col), scale).alias("v")).filter("v is not null and id is not null")
-    base = written(useful(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    # of equal vectors only the k + 1 least ids (one may be the query's own), each k times, can be among a query's k best:
+    # however many rows share a vector, few go on, and the limits apply before rows are shuffled
+    base = useful(vectors).withColumn("h", F.xxhash64("v"))
+    base = base.withColumn("n", F.row_number().over(Window.partitionBy("h", "v", "id").orderBy("id"))).filter(F.col("n") <= k)
+    base = base.withColumn("n", F.dense_rank().over(Window.partitionBy("h", "v").orderBy("id"))).filter(F.col("n") <= k + 1)
+    base = written(base.select("id", "v").withColumn("row", F.monotonically_increasing_id()), "vectors")
     asked = written(useful(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "queries")
     facts = [F.count("*").alias("n"), F.sum(F.size("v")).alias("components"), F.max(F.size("v")).alias("dim"), F.min(F.array_min("v")).alias("lo"), F.max(F.array_max("v")).alias("hi")]
     of, to = base.agg(*facts).first(), asked.agg(*facts).first()

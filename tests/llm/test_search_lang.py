@@ -50,6 +50,19 @@ def test_bounds_hold():
                 assert low[q, i] <= sum(a * b for a, b in zip(exact[q].tolist(), exact[i].tolist())) <= high[q, i]
 
 
+def test_many_equal_vectors(spark):
+    """A vector that most rows share, under many ids and under one id many times."""
+    rows = [(i, [0.5, 0.25]) for i in range(120)] + [(50, [0.5, 0.25])] * 12 + [(3, [0.5, 0.25])] * 9 + [(200 + i, [0.1 * i, 0.2]) for i in range(20)] + [(400, [0.5, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in va_search(df.repartition(3), df.filter("vec_id % 50 = 0"), k=4).collect())
+    want = []
+    for q, v in sorted({i: v for i, v in rows if i % 50 == 0}.items()):
+        f = [[math.floor(256 * x) for x in w] for w in (v, *(w for _, w in rows))]
+        best = sorted((-sum(a * b for a, b in zip(f[0], f[n + 1])), i) for n, (i, _) in enumerate(rows) if i != q)[:4]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == want
+
+
 def test_large_components(spark):
     """No finite vector is left out; scores of up to 64 bits are exact; beyond, there is an error."""
     r = random.Random(9)
