@@ -87,13 +87,14 @@ def edges(touch: DataFrame, near: DataFrame, cells: DataFrame) -> DataFrame:
     return typed(out, cells).select("pair_id", "cell_id_a", "cell_id_b", "cell_type_a", "cell_type_b", "surface_distance_um")
 
 
-def find_neighbors(voxels: DataFrame, cells: DataFrame, grid: Grid, *, max_distance_um: float, prefilter_um: float, mode: str = "exact", planar: bool = False) -> DataFrame:
-    """Touching pairs and pairs within the distance, as numbered edges. mode "boxes" judges volumes by halo boxes alone."""
+def find_neighbors(voxels: DataFrame, cells: DataFrame, grid: Grid, *, max_distance_um: float, prefilter_um: float, mode: str = "exact", planar: bool = False, order: str = "cell_id") -> DataFrame:
+    """Touching pairs and pairs within the distance, as numbered edges. Of a near pair, a is the cell that comes first by the
+    column `order` of cells (whose halo or surface judges the pair); of a touching one, that of the lower id. mode "boxes" judges volumes by halo boxes alone."""
     present = cells.join(voxels.select(F.col("label").alias("cell_id")).distinct(), "cell_id", "left_semi")
     touch = touching(voxels, planar=planar)
     if max_distance_um == 0.0:
         return edges(touch, touch.limit(0), cells)
     sizes: Sequence[float] = grid.sizes[1:] if planar else grid.sizes
-    candidates = unlike(radius_pairs(present, prefilter_um, sizes), touch)
+    candidates = unlike(radius_pairs(present, prefilter_um, sizes, order), touch)
     near = near_by_boxes(voxels, candidates, max_distance_um, grid) if mode == "boxes" else near_by_surface(voxels, candidates, max_distance_um, grid, planar=planar)
     return edges(touch, near, cells)

@@ -49,8 +49,8 @@ def radius_lookup(cells: DataFrame, cell_id: int, radius: float, sizes: Sequence
     return cells.filter((F.col("cell_id") != cell_id) & (square <= radius * radius)).select("cell_id")
 
 
-def _least(targets: np.ndarray, sources: np.ndarray, sizes: np.ndarray | None) -> np.ndarray:
-    """Distance of each target to its nearest source: Euclidean with sizes, else the sum of steps."""
+def _compared(targets: np.ndarray, sources: np.ndarray, sizes: np.ndarray | None) -> np.ndarray:
+    """Squared distance (without sizes: face steps) of each target to its nearest source, each with each."""
     out = np.empty(len(targets))
     chunk = max(1, (1 << 21) // max(1, len(sources)))
     for at in range(0, len(targets), chunk):
@@ -60,6 +60,33 @@ def _least(targets: np.ndarray, sources: np.ndarray, sizes: np.ndarray | None) -
         else:
             d = d * sizes
             out[at : at + chunk] = (d * d).sum(2).min(1)
+    return out
+
+
+def _transformed(targets: np.ndarray, sources: np.ndarray, sizes: np.ndarray | None, pads: Sequence[int]) -> np.ndarray:
+    """The same axis by axis on the array of places around the targets: as far as the pads reach, exact; beyond, too large.
+    Axes come in the order in which squares are added up, so sums are rounded alike."""
+    low = targets.min(0) - pads
+    shape = targets.max(0) + pads + 1 - low
+    inside = ((sources >= low) & (sources < low + shape)).all(1)
+    f = np.full(shape, np.inf)
+    f[tuple((sources[inside] - low).T)] = 0.0
+    for axis, pad in enumerate(pads):
+        f = np.moveaxis(f, axis, 0)
+        best, n = np.full_like(f, np.inf), len(f)
+        for k in range(-min(pad, n - 1), min(pad, n - 1) + 1):
+            cost = abs(k) if sizes is None else (k * sizes[axis]) * (k * sizes[axis])
+            there = slice(max(0, -k), n - max(0, k))
+            np.minimum(best[there], f[max(0, k) : n - max(0, -k)] + cost, out=best[there])
+        f = np.moveaxis(best, 0, axis)
+    return f[tuple((targets - low).T)]
+
+
+def _least(targets: np.ndarray, sources: np.ndarray, sizes: np.ndarray | None, pads: Sequence[int]) -> np.ndarray:
+    """Distance of each target to its nearest source, Euclidean with sizes, else the sum of steps: by whichever costs less of
+    a transform, whose cost is that of the places around the targets, and of comparing a few with a few."""
+    around = np.prod(targets.max(0) - targets.min(0) + 1 + 2 * np.array(pads)) * (2 * sum(pads) + 3)
+    out = _compared(targets, sources, sizes) if 3 * len(targets) * len(sources) <= around else _transformed(targets, sources, sizes, pads)
     return out if sizes is None else np.sqrt(out)
 
 
@@ -78,15 +105,15 @@ def nearest(targets: DataFrame, sources: DataFrame, keys: list[str], sizes: Sequ
     size = np.array(sizes)
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
-        at = np.stack([x[a].to_numpy() for a in AXES], 1).astype(np.float64) if x.num_rows else np.zeros((0, 3))
-        of = np.stack([y[a].to_numpy() for a in AXES], 1).astype(np.float64) if y.num_rows else np.zeros((0, 3))
+        at = np.stack([x[a].to_numpy() for a in AXES], 1).astype(np.int64) if x.num_rows else np.zeros((0, 3), np.int64)
+        of = np.stack([y[a].to_numpy() for a in AXES], 1).astype(np.int64) if y.num_rows else np.zeros((0, 3), np.int64)
         flag = y["flag"].to_numpy() if y.num_rows else np.zeros(0, bool)
         if not len(at) or not flag.any():
             return x.select([*keys, *AXES]).slice(0, 0).append_column("d", pa.array([], pa.float64()))
-        d = _least(at, of[flag], size)
+        d = _least(at, of[flag], size, [math.ceil(reach / s) for s in sizes])
         ok = d <= reach
         if steps is not None:
-            ok &= _least(at, of, None) <= steps
+            ok &= _least(at, of, None, [steps] * 3) <= steps
         return x.select([*keys, *AXES]).append_column("d", pa.array(d)).filter(pa.array(ok))
 
     schema = ", ".join([*(f"{k} {dict(left.dtypes)[k]}" for k in (*keys, *AXES)), "d double"])

@@ -37,10 +37,10 @@ def gap_field(voxels: DataFrame, pairs: DataFrame, grid: Grid, *, distance: floa
     another is a third cell's. One field a cell serves all its pairs."""
     wanted = pairs.select(F.explode(F.array("cell_a_id", "cell_b_id")).alias("cell")).distinct()
     field = materialised(distance_field(voxels, wanted, grid, distance=distance, halo_distance=halo_distance), "field")
-    a = field.select(F.col("cell").alias("cell_a_id"), *AXES, F.col("d").alias("_da"))
-    b = field.select(F.col("cell").alias("cell_b_id"), *AXES, F.col("d").alias("_db"))
-    both = a.join(b, list(AXES)).filter("cell_a_id <> cell_b_id").withColumn("d", F.col("_da") + F.col("_db")).filter(F.col("d") <= distance)
-    both = both.join(pairs.select("pair_id", "cell_a_id", "cell_b_id"), ["cell_a_id", "cell_b_id"])
+    # pairs go to their cells first, so a place meets only cells that are a pair
+    half = lambda end, d: field.join(pairs.select("pair_id", F.col(end).alias("cell")), "cell").select("pair_id", *AXES, F.col("d").alias(d))
+    both = half("cell_a_id", "_da").join(half("cell_b_id", "_db"), ["pair_id", *AXES]).withColumn("d", F.col("_da") + F.col("_db")).filter(F.col("d") <= distance)
+    both = both.join(pairs.select("pair_id", "cell_a_id", "cell_b_id").filter("cell_a_id <> cell_b_id"), "pair_id")
     there = both.join(voxels, list(AXES), "left").withColumn("label", F.coalesce("label", F.lit(0)).cast("long"))
     return there.filter("label <> cell_a_id and label <> cell_b_id").select("pair_id", *AXES, "d", "label")
 

@@ -96,14 +96,24 @@ def downsampled(voxels: DataFrame, level: int) -> DataFrame:
     return voxels.filter(keep).select(*(F.floor(F.col(a) / f).cast("int").alias(a) for a in AXES), "label")
 
 
+def cropped(points: DataFrame, pad: int, grid: Grid) -> DataFrame:
+    """points(z, y, x, ...) with places from the corner of their joint box, which is padded and clipped to the grid."""
+    corner = points.agg(*[F.greatest(F.lit(0), F.min(a) - pad).alias(f"{a}0") for a in AXES])
+    moved = points.crossJoin(F.broadcast(corner))  # one row
+    return moved.select(*((F.col(a) - F.col(f"{a}0")).cast("int").alias(a) for a in AXES), *(c for c in points.columns if c not in AXES))
+
+
 def pair_crop(voxels: DataFrame, labels: list[int], pad: int, grid: Grid) -> DataFrame:
-    """Voxels of some labels inside their joint box, padded and clipped, with places from the box's corner."""
-    chosen = voxels.filter(F.col("label").isin(labels))
-    box = chosen.agg(*[e for a, n in zip(AXES, grid.shape, strict=True) for e in (F.greatest(F.lit(0), F.min(a) - pad).alias(f"{a}0"), F.least(F.lit(n), F.max(a) + 1 + pad).alias(f"{a}1"))])
-    inside = voxels.crossJoin(F.broadcast(box))  # one row
-    for a in AXES:
-        inside = inside.filter((F.col(a) >= F.col(f"{a}0")) & (F.col(a) < F.col(f"{a}1")))
-    return inside.filter(F.col("label").isin(labels)).select(*((F.col(a) - F.col(f"{a}0")).cast("int").alias(a) for a in AXES), "label")
+    """Voxels of some labels, with places from the corner of their joint box."""
+    return cropped(voxels.filter(F.col("label").isin(labels)), pad, grid).select(*AXES, "label")
+
+
+def pair_layers(mesh: DataFrame, cells: DataFrame, pairs: list[tuple[int, int, int]]) -> DataFrame:
+    """layer, z, y, x, label: the voxels of pairs (id, cell a, cell b) in a pair-labelled volume, and those of their cells in
+    a volume of cells."""
+    ends = sorted({c for _, *two in pairs for c in two})
+    of = lambda df, name, ids: df.filter(F.col("label").isin(ids)).select(F.lit(name).alias("layer"), *AXES, "label")
+    return of(mesh, "pair", [p for p, *_ in pairs]).union(of(cells, "cell", ends))
 
 
 def selected(voxels: DataFrame, labels: DataFrame, label: str = "label") -> DataFrame:

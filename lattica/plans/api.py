@@ -12,6 +12,7 @@ from lattica.operators import graph, neighbors, volumes, zonal
 from lattica.operators.raster import rasterised
 from lattica.session import materialised, ship
 from lattica.sources import metadata, zarr
+from lattica.sources.paths import cleaned, store_root
 from lattica.sources.sinks import save_tables
 from lattica.sources.tables import Grid
 
@@ -27,6 +28,7 @@ def _graph(cells: DataFrame, edges: DataFrame, planar: bool) -> dict[str, DataFr
 
 
 def _volume(spark: SparkSession, path: str, size: tuple[float, float, float], keys: list[str] = zarr.LABEL_KEYS) -> tuple[DataFrame, Grid]:
+    path = store_root(path)
     a = zarr.label_array(zarr.arrays(spark, path), keys)
     return materialised(zarr.labels(spark, path, a), "labels"), Grid(*a.spatial, *size)
 
@@ -34,17 +36,18 @@ def _volume(spark: SparkSession, path: str, size: tuple[float, float, float], ke
 def find_cell_neighbors_2d(spark: SparkSession, polygon_json_path: str, metadata_csv_path: str, *, max_distance_um: float = 1.0, pixel_size_um: float = 0.1085, centroid_prefilter_radius_um: float = 75.0, cell_id: str = "cell_id", cell_type: str = "subclass", centroid_x: str = "X", centroid_y: str = "Y", output_path: str | None = None) -> dict[str, DataFrame]:
     """Neighbours of polygons. Cells are numbered in the polygons' order; cell_key keeps their own ids."""
     ship(spark)
-    meta = metadata.metadata_csv(spark, metadata_csv_path)
+    meta = metadata.metadata_csv(spark, cleaned(metadata_csv_path)).withColumn("_row", F.monotonically_increasing_id())
     metadata.require(meta, [cell_id, cell_type, centroid_x, centroid_y])
-    polys = metadata.valid_polygons(metadata.polygons_json(spark, polygon_json_path))
+    polys = metadata.valid_polygons(metadata.polygons_json(spark, cleaned(polygon_json_path)))
     polys, rows = metadata.in_both(polys, meta, cell_id)
     from lattica.operators.numbering import numbered
 
     ids = materialised(numbered(polys.select("cell_key", "ord"), "label", "ord", ["ord"]).select("cell_key", "label"), "ids")
     image, grid = rasterised(polys, pixel_um=pixel_size_um, labels=ids)
     image = materialised(image, "image")
-    cells = metadata.cells(rows.join(ids, "cell_key").drop(cell_id).withColumnRenamed("label", "cell_id"), "cell_id", cell_type, [centroid_x, centroid_y])
-    edges = materialised(neighbors.find_neighbors(image, cells, grid, max_distance_um=max_distance_um, prefilter_um=centroid_prefilter_radius_um, planar=True), "edges")
+    cells = metadata.cells(rows.join(ids, "cell_key").drop(cell_id).withColumnRenamed("label", "cell_id"), "cell_id", cell_type, [centroid_x, centroid_y], ("_row",))
+    edges = materialised(neighbors.find_neighbors(image, cells, grid, max_distance_um=max_distance_um, prefilter_um=centroid_prefilter_radius_um, planar=True, order="_row"), "edges")
+    cells = cells.drop("_row")
     out = _graph(cells, edges, True) | {"keys": ids, "image": image}
     if output_path:
         save_tables(out, output_path, parameters={"max_distance_um": max_distance_um, "pixel_size_um": pixel_size_um})
@@ -54,9 +57,11 @@ def find_cell_neighbors_2d(spark: SparkSession, polygon_json_path: str, metadata
 def find_cell_neighbors_3d(spark: SparkSession, ome_zarr_path: str, metadata_csv_path: str, *, max_distance_um: float = 0.5, voxel_size_um: tuple[float, float, float] = (0.56, 0.28, 0.28), centroid_prefilter_radius_um: float = 75.0, cell_id: str = "CellID", cell_type: str = "phenotype", centroid_x: str = "X_centroid", centroid_y: str = "Y_centroid", centroid_z: str = "Z_centroid", mode: str = "exact", output_path: str | None = None) -> dict[str, DataFrame]:
     """Neighbours of labels in a volume. mode "boxes" judges near pairs by halo boxes, as the established tool does."""
     ship(spark)
-    cells = metadata.cells(metadata.metadata_csv(spark, metadata_csv_path), cell_id, cell_type, [centroid_x, centroid_y, centroid_z])
+    meta = metadata.metadata_csv(spark, cleaned(metadata_csv_path)).withColumn("_row", F.monotonically_increasing_id())
+    cells = metadata.cells(meta, cell_id, cell_type, [centroid_x, centroid_y, centroid_z], ("_row",))
     voxels, grid = _volume(spark, ome_zarr_path, voxel_size_um)
-    edges = materialised(neighbors.find_neighbors(voxels, cells, grid, max_distance_um=max_distance_um, prefilter_um=centroid_prefilter_radius_um, mode=mode), "edges")
+    edges = materialised(neighbors.find_neighbors(voxels, cells, grid, max_distance_um=max_distance_um, prefilter_um=centroid_prefilter_radius_um, mode=mode, order="_row"), "edges")
+    cells = cells.drop("_row")
     out = _graph(cells, edges, False)
     if output_path:
         save_tables(out, output_path, parameters={"max_distance_um": max_distance_um, "voxel_size_um": voxel_size_um, "mode": mode})
@@ -64,9 +69,9 @@ def find_cell_neighbors_3d(spark: SparkSession, ome_zarr_path: str, metadata_csv
 
 
 def compute_intercell_volumes_3d(spark: SparkSession, ome_zarr_path: str, neighbor_pairs_csv: str, *, voxel_size_um: tuple[float, float, float] = (0.56, 0.28, 0.28), max_distance_um: float = 3.0, intracellular_threshold_um: float = 1.0, halo_distance_um: float = 0.5, done: DataFrame | None = None, output_path: str | None = None, output_zarr_path: str | None = None) -> dict[str, DataFrame]:
-    """Volumes between neighbouring cells. done: a volume table whose pairs are left out (resuming a run)."""
+    """Volumes between neighbouring cells. neighbor_pairs_csv: a CSV, SQLite or Parquet table of pairs. done: a volume table whose pairs are left out (resuming a run)."""
     ship(spark)
-    pairs = metadata.neighbor_pairs(metadata.metadata_csv(spark, neighbor_pairs_csv))
+    pairs = metadata.neighbor_pairs(metadata.pair_table(spark, cleaned(neighbor_pairs_csv)))
     if done is not None:
         pairs = volumes.remaining(pairs, done)
     voxels, grid = _volume(spark, ome_zarr_path, voxel_size_um)

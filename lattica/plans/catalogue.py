@@ -132,8 +132,8 @@ def neighbors_touching_only(spark: SparkSession, d: str) -> DataFrame:
 
 
 def renumbered(spark: SparkSession, d: str) -> DataFrame:
-    kept = _edges(spark, d).filter("pair_id % 3 <> 0")
-    return numbering.numbered(kept.withColumnRenamed("pair_id", "old_id"), "pair_id", "old_id", ["old_id"]).select("pair_id", "old_id", "cell_id_a", "cell_id_b")
+    gaps = _edges(spark, d).select((F.col("pair_id") * 3 + 4).alias("old_id"), "cell_id_a", "cell_id_b")
+    return numbering.numbered(gaps, "pair_id", "old_id", ["old_id"]).select("pair_id", "old_id", "cell_id_a", "cell_id_b")
 
 
 def type_pair_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +165,7 @@ def volume_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def volume_table(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_volumes(spark, d).table.drop("num_components", "largest_component_volume_um3"))
+    return _rounded(_volumes(spark, d).table)
 
 
 def volume_table_components(spark: SparkSession, d: str) -> DataFrame:
@@ -179,13 +179,13 @@ def cell_only_volumes(spark: SparkSession, d: str) -> DataFrame:
 
 def resume_remaining(spark: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(spark, d)
-    done = pairs.filter("pair_id % 4 = 0").select(F.col("cell_b_id").alias("cell_a_id"), F.col("cell_a_id").alias("cell_b_id"))
+    done = pairs.filter("cell_a_type = 'ASIA'").select(F.col("cell_b_id").alias("cell_a_id"), F.col("cell_a_id").alias("cell_b_id"))
     return volumes.remaining(pairs, done)
 
 
 def upsert_keep_last(spark: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(spark, d)
-    return volumes.upserted(pairs.filter("pair_id % 3 <> 1"), pairs.filter("pair_id % 2 = 0").withColumn("cell_a_type", F.lit("new")))
+    return volumes.upserted(pairs, pairs.filter("cell_b_type = 'ASIA'").withColumn("cell_a_type", F.lit("new")))
 
 
 def cells_of_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -207,10 +207,6 @@ def downsample(spark: SparkSession, d: str) -> DataFrame:
     return voxels.downsampled(_vox(spark, d)[0], 1)
 
 
-def cell_only_labels(spark: SparkSession, d: str) -> DataFrame:
-    return voxels.boxes(_volumes(spark, d).cell_only)
-
-
 def polygon_valid(spark: SparkSession, d: str) -> DataFrame:
     """Rectangles, of which some are spoilt: two vertices, or three that are not three different ones."""
     polys, _ = plane_polygons(spark, d)

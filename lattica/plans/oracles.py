@@ -55,12 +55,17 @@ PARTS = {
     "held": "SELECT * FROM gap UNION ALL SELECT * FROM rim UNION ALL SELECT * FROM contact",
     "mesh": "SELECT z, y, x, max(pair_id) pair_id FROM held GROUP BY ALL",
     "rest": "SELECT * FROM vox v WHERE NOT EXISTS (SELECT 1 FROM mesh m WHERE m.z = v.z AND m.y = v.y AND m.x = v.x)",
+    # face-connected parts of each pair's gap: what every voxel reaches, and the least voxel of that
+    "spot": "SELECT pair_id, z, y, x, (z * 100000::BIGINT + y) * 100000 + x AS c FROM gap",
+    "step": "SELECT a.pair_id, a.c AS p, b.c AS q FROM spot a JOIN spot b ON a.pair_id = b.pair_id AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1",
+    "reach": "SELECT pair_id, c AS p, c AS q FROM spot UNION SELECT r.pair_id, r.p, s.q FROM reach r JOIN step s ON s.pair_id = r.pair_id AND s.p = r.q",
+    "comps": "SELECT pair_id, count(*) num_components, max(n) largest FROM (SELECT pair_id, root, count(*) n FROM (SELECT pair_id, p, min(q) root FROM reach GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1",
     "vol": f"""SELECT p.*, (coalesce(g.n, 0) + coalesce(r.n, 0) + coalesce(c.n, 0)) * {SIZE} total_intercell_volume_um3, coalesce(g.n, 0) + coalesce(r.n, 0) + coalesce(c.n, 0) total_intercell_volume_voxels,
         coalesce(g.n, 0) * {SIZE} edt_volume_um3, coalesce(g.n, 0) edt_volume_voxels, coalesce(r.n, 0) * {SIZE} intracellular_volume_um3, coalesce(r.n, 0) intracellular_volume_voxels,
         coalesce(c.n, 0) * {SIZE} touching_surface_area_um2, coalesce(c.n, 0) touching_surface_area_voxels, coalesce(m.mean_d, 0.0) mean_distance_um, coalesce(m.max_d, 0.0) max_distance_um,
-        {SIZE} voxel_volume_um3, {FAR}::DOUBLE max_distance_threshold_um, {RIM}::DOUBLE intracellular_threshold_um, coalesce(u.n, 0) union_voxels
+        {SIZE} voxel_volume_um3, {FAR}::DOUBLE max_distance_threshold_um, {RIM}::DOUBLE intracellular_threshold_um, coalesce(u.n, 0) union_voxels, coalesce(k.num_components, 0) num_components, coalesce(k.largest, 0) * {SIZE} largest_component_volume_um3
         FROM pairs p LEFT JOIN (SELECT pair_id, count(*) n FROM gap GROUP BY 1) g USING (pair_id) LEFT JOIN (SELECT pair_id, count(*) n FROM rim GROUP BY 1) r USING (pair_id) LEFT JOIN (SELECT pair_id, count(*) n FROM contact GROUP BY 1) c USING (pair_id)
-        LEFT JOIN (SELECT pair_id, avg(d) mean_d, max(d) max_d FROM gap0 GROUP BY 1) m USING (pair_id) LEFT JOIN (SELECT pair_id, count(DISTINCT (z, y, x)) n FROM held GROUP BY 1) u USING (pair_id)""",
+        LEFT JOIN (SELECT pair_id, avg(d) mean_d, max(d) max_d FROM gap0 GROUP BY 1) m USING (pair_id) LEFT JOIN (SELECT pair_id, count(DISTINCT (z, y, x)) n FROM held GROUP BY 1) u USING (pair_id) LEFT JOIN comps k USING (pair_id)""",
     "gp": "SELECT CAST(ceil(round(sqrt(count(*)), 9) - 1e-9) AS BIGINT) g FROM supplier",
     "pseeds": """SELECT s_suppkey + 1 cell_id, r_name cell_type, 6 * (s_suppkey // g) + 3 cy, 6 * (s_suppkey % g) + 3 cx, s_nationkey % 2 ex, (s_nationkey // 2) % 2 ey
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey, gp""",
@@ -80,7 +85,7 @@ def _sql(select: str, last: str) -> str:
     plane = last in list(PARTS)[list(PARTS).index("gp") :]
     names = list(PARTS)[list(PARTS).index("gp") :] if plane else list(PARTS)
     names = names[: names.index(last) + 1]
-    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({PARTS[n]})" for n in names) + " " + select
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS {'' if n == 'reach' else 'MATERIALIZED '}({PARTS[n]})" for n in names) + " " + select
 
 
 def _zonal(value: str, name: str) -> str:
@@ -107,7 +112,7 @@ ORACLES = {
     "neighbor_edges": _sql("SELECT * REPLACE (round(surface_distance_um, 6) AS surface_distance_um) FROM edges", "edges"),
     "neighbor_edges_parity": _sql("SELECT * FROM edgesp", "edgesp"),
     "neighbors_touching_only": _sql("SELECT row_number() OVER (ORDER BY cell_id_a, cell_id_b) pair_id, cell_id_a, cell_id_b, a.cell_type cell_type_a, b.cell_type cell_type_b FROM touch JOIN cells a ON a.cell_id = cell_id_a JOIN cells b ON b.cell_id = cell_id_b", "touch"),
-    "renumbered": _sql("SELECT row_number() OVER (ORDER BY pair_id) pair_id, pair_id old_id, cell_id_a, cell_id_b FROM edges WHERE pair_id % 3 <> 0", "edges"),
+    "renumbered": _sql("SELECT row_number() OVER (ORDER BY pair_id) pair_id, 3 * pair_id + 4 AS old_id, cell_id_a, cell_id_b FROM edges", "edges"),
     "type_pair_filter": _sql("SELECT * REPLACE (round(surface_distance_um, 6) AS surface_distance_um) FROM edges WHERE (cell_type_a, cell_type_b) IN (('ASIA', 'EUROPE'), ('EUROPE', 'ASIA'))", "edges"),
     "cell_connectivity": _sql(f"""SELECT cell_id, cell_type, round(centroid_x, 6) centroid_x, round(centroid_y, 6) centroid_y, round(centroid_z, 6) centroid_z, count(a.cell_id_b) + count(b.cell_id_a) total_neighbors,
         count(DISTINCT a.cell_id_b) + count(DISTINCT b.cell_id_a) unique_neighbors, (SELECT count(*) FROM ({_DEG}) WHERE c = cell_id) AS degree
@@ -127,16 +132,18 @@ ORACLES = {
     "rim_voxels": _sql("SELECT * FROM rim", "rim"),
     "mesh": _sql("SELECT * FROM mesh", "mesh"),
     "cell_only": _sql("SELECT * FROM rest", "rest"),
-    "volume_table": _sql("SELECT " + "pair_id, cell_a_id, cell_b_id, cell_a_type, cell_b_type, total_intercell_volume_voxels, edt_volume_voxels, intracellular_volume_voxels, touching_surface_area_voxels, union_voxels, " + ", ".join(f"round({c}, 6) {c}" for c in (V, "edt_volume_um3", "intracellular_volume_um3", "touching_surface_area_um2", "mean_distance_um", "max_distance_um", "voxel_volume_um3", "max_distance_threshold_um", "intracellular_threshold_um")) + " FROM vol", "vol"),
+    "volume_table": _sql("SELECT " + "pair_id, cell_a_id, cell_b_id, cell_a_type, cell_b_type, total_intercell_volume_voxels, edt_volume_voxels, intracellular_volume_voxels, touching_surface_area_voxels, num_components, union_voxels, " + ", ".join(f"round({c}, 6) {c}" for c in (V, "edt_volume_um3", "intracellular_volume_um3", "touching_surface_area_um2", "largest_component_volume_um3", "mean_distance_um", "max_distance_um", "voxel_volume_um3", "max_distance_threshold_um", "intracellular_threshold_um")) + " FROM vol", "vol"),
+    "volume_components": _sql("SELECT * FROM comps", "comps"),
+    "volume_table_components": _sql("SELECT pair_id, num_components, round(largest_component_volume_um3, 6) largest_component_volume_um3 FROM vol", "vol"),
     "cell_only_volumes": _sql(f"SELECT label cell_id, count(*) cell_only_volume_voxels, round(count(*) * {SIZE}, 6) cell_only_volume_um3, cell_type FROM rest JOIN cells ON cell_id = label GROUP BY ALL", "rest"),
-    "volume_stats": _sql(f"SELECT cell_a_type, cell_b_type, count(*) pair_count, round(avg({V}), 6) mean_volume, round(min({V}), 6) min_volume, round(max({V}), 6) max_volume, round(sum({V}), 6) total_volume, round(avg(mean_distance_um), 6) mean_distance, 1.0::DOUBLE mean_components FROM vol GROUP BY 1, 2", "vol"),
+    "volume_stats": _sql(f"SELECT cell_a_type, cell_b_type, count(*) pair_count, round(avg({V}), 6) mean_volume, round(min({V}), 6) min_volume, round(max({V}), 6) max_volume, round(sum({V}), 6) total_volume, round(avg(mean_distance_um), 6) mean_distance, round(avg(num_components), 6) mean_components FROM vol GROUP BY 1, 2", "vol"),
     "volume_distribution": _sql(f"""SELECT pair_id, cell_a_id, cell_b_id, cell_a_type, cell_b_type, round({V}, 6) {V}, round(edt_volume_um3, 6) edt_volume_um3, round(intracellular_volume_um3, 6) intracellular_volume_um3, round(touching_surface_area_um2, 6) touching_surface_area_um2,
-        round(mean_distance_um, 6) mean_distance_um, round(max_distance_um, 6) max_distance_um, round(edt_volume_um3 / nullif({V}, 0) * 100, 6) edt_percentage, round(intracellular_volume_um3 / nullif({V}, 0) * 100, 6) intracellular_percentage, round(touching_surface_area_um2 / nullif({V}, 0) * 100, 6) surface_percentage FROM vol""", "vol"),
-    "high_volume": _sql(f"SELECT pair_id, cell_a_id, cell_b_id, cell_a_type, cell_b_type, round({V}, 6) {V}, round(mean_distance_um, 6) mean_distance_um FROM vol WHERE {V} > (SELECT avg({V}) + 2 * stddev({V}) FROM vol)", "vol"),
+        round(mean_distance_um, 6) mean_distance_um, round(max_distance_um, 6) max_distance_um, num_components, round(edt_volume_um3 / nullif({V}, 0) * 100, 6) edt_percentage, round(intracellular_volume_um3 / nullif({V}, 0) * 100, 6) intracellular_percentage, round(touching_surface_area_um2 / nullif({V}, 0) * 100, 6) surface_percentage FROM vol""", "vol"),
+    "high_volume": _sql(f"SELECT pair_id, cell_a_id, cell_b_id, cell_a_type, cell_b_type, round({V}, 6) {V}, round(mean_distance_um, 6) mean_distance_um, num_components FROM vol WHERE {V} > (SELECT avg({V}) + 2 * stddev({V}) FROM vol)", "vol"),
     "weighted_coo": _sql("".join(f"SELECT {a} AS row, {b} AS col, round({V}::FLOAT, 6) total, round(edt_volume_um3::FLOAT, 6) edt, round(intracellular_volume_um3::FLOAT, 6) intracellular, round(touching_surface_area_um2::FLOAT, 6) touching FROM vol {u}" for a, b, u in (("cell_a_id", "cell_b_id", "UNION ALL "), ("cell_b_id", "cell_a_id", ""))), "vol"),
     "volume_info": _sql(f"SELECT count(*) total_pairs, round(avg({V}), 6) mean_volume_um3, round(sum({V}), 6) total_volume_um3, {FAR}::DOUBLE max_distance_threshold_um, {RIM}::DOUBLE intracellular_threshold_um, (SELECT count(*) FROM wanted) total_cells FROM vol", "vol"),
-    "resume_remaining": _sql("SELECT * FROM pairs WHERE pair_id % 4 <> 0", "pairs"),
-    "upsert_keep_last": _sql("SELECT * REPLACE (CASE WHEN pair_id % 2 = 0 THEN 'new' ELSE cell_a_type END AS cell_a_type) FROM pairs WHERE pair_id % 3 <> 1 OR pair_id % 2 = 0", "pairs"),
+    "resume_remaining": _sql("SELECT * FROM pairs WHERE cell_a_type <> 'ASIA'", "pairs"),
+    "upsert_keep_last": _sql("SELECT * REPLACE (CASE WHEN cell_b_type = 'ASIA' THEN 'new' ELSE cell_a_type END AS cell_a_type) FROM pairs", "pairs"),
     "cells_of_pairs": _sql("SELECT cell cell_id, s.cell_type, 0.0::DOUBLE centroid_x, 0.0::DOUBLE centroid_y, 0.0::DOUBLE centroid_z FROM wanted JOIN seeds s ON s.cell_id = cell", "wanted"),
     "selected_pairs": _sql("SELECT z, y, x, label FROM vox WHERE label IN (SELECT unnest([cell_a_id, cell_b_id]) FROM pairs WHERE pair_id IN (1, 2, 5))", "pairs"),
     "pair_crop": _sql("SELECT CAST(z - greatest(0, (SELECT min(z) FROM vox WHERE label IN (2, 3)) - 10) AS INT) z, CAST(y - greatest(0, (SELECT min(y) FROM vox WHERE label IN (2, 3)) - 10) AS INT) y, CAST(x - greatest(0, (SELECT min(x) FROM vox WHERE label IN (2, 3)) - 10) AS INT) x, label FROM vox WHERE label IN (2, 3)", "vox"),
@@ -147,4 +154,3 @@ ORACLES = {
     "neighbors_2d": _sql(f"""SELECT row_number() OVER (ORDER BY k, cell_id_a, cell_id_b) pair_id, cell_id_a, cell_id_b, a.cell_type cell_type_a, b.cell_type cell_type_b, round(surface_distance_um, 6) surface_distance_um
         FROM (SELECT cell_id_a, cell_id_b, 0.0::DOUBLE surface_distance_um, 0 k FROM ptouch UNION ALL SELECT cell_id_a, cell_id_b, surface_distance_um, 1 FROM pnear WHERE surface_distance_um <= {NEAR_2D}) JOIN pseeds a ON a.cell_id = cell_id_a JOIN pseeds b ON b.cell_id = cell_id_b""", "pnear"),
 }
-# Components of voxels have no oracle: they are tested against a search on small scenes.

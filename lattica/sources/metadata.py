@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators.numbering import numbered
+from lattica.sources import sqlite
 
 #: Columns of neighbour pairs and the other names that files give them.
 PAIR_NAMES = {"cell_a_id": "cell_id_a", "cell_b_id": "cell_id_b", "cell_a_type": "cell_type_a", "cell_b_type": "cell_type_b"}
 
+#: Tables of SQLite files that hold pairs, best first.
+PAIR_TABLES = ["interscellar_volumes", "neighbors"]
+
 
 def require(df: DataFrame, names: list[str]) -> None:
     """Raise with the list of columns that are missing."""
@@ -26,10 +30,26 @@ def metadata_csv(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"metadata can't be read from {path}: {e}") from e
 
 
-def cells(meta: DataFrame, cell_id: str, cell_type: str, centroids: list[str]) -> DataFrame:
-    """cells(cell_id, cell_type, centroid_x, centroid_y[, centroid_z]) from any column names."""
+def cells(meta: DataFrame, cell_id: str, cell_type: str, centroids: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """cells(cell_id, cell_type, centroid_x, centroid_y[, centroid_z]) from any column names, and the columns of `keep`."""
     require(meta, [cell_id, cell_type, *centroids])
-    return meta.select(F.col(cell_id).alias("cell_id"), F.col(cell_type).cast("string").alias("cell_type"), *(F.col(c).cast("double").alias(f"centroid_{k}") for c, k in zip(centroids, "xyz", strict=False)))
+    return meta.select(F.col(cell_id).alias("cell_id"), F.col(cell_type).cast("string").alias("cell_type"), *(F.col(c).cast("double").alias(f"centroid_{k}") for c, k in zip(centroids, "xyz", strict=False)), *keep)
+
+
+def pair_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table of pairs from a CSV file, a SQLite file (its volume table, else its neighbours) or Parquet, by the path's ending."""
+    if path.endswith((".db", ".sqlite", ".sqlite3")):
+        known = sqlite.tables(path)
+        return sqlite.read(spark, path, next((t for t in PAIR_TABLES if t in known), PAIR_TABLES[-1]))
+    return spark.read.parquet(path) if path.rstrip("/").endswith((".parquet", "/volumes", "/neighbors")) else metadata_csv(spark, path)
+
+
+def cells_of(pairs: DataFrame, ids: list[int]) -> list[tuple[int, int, int]]:
+    """(pair id, cell a, cell b) of the pairs asked for, in their order; an error names those that the table lacks."""
+    found = {r[0]: tuple(r) for r in neighbor_pairs(pairs).filter(F.col("pair_id").isin(ids)).select("pair_id", "cell_a_id", "cell_b_id").collect()}
+    if missing := [i for i in ids if i not in found]:
+        raise ValueError(f"no pairs {missing}")
+    return [found[i] for i in ids]
 
 
 def neighbor_pairs(df: DataFrame) -> DataFrame:

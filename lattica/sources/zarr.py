@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Names under which label arrays are looked for, best first.
-LABEL_KEYS = ["0/0", "0", "labels"]
+LABEL_KEYS = ["labels", "0/0", "0"]
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ class Array:
     separator: str
     prefix: str
     attributes: dict
-    fill: float = 0.0
+    fill: float = 0
 
     @property
     def spatial(self) -> tuple[int, ...]:
@@ -48,7 +48,7 @@ def _fill(value: object, kind: np.dtype) -> float:
     """A fill value; null stands for 0, 0x... (version 3) for the bits of a float."""
     if isinstance(value, str) and value.startswith("0x"):
         return float(np.array(int(value, 16), f"u{kind.itemsize}").view(f"f{kind.itemsize}"))
-    return float(value or 0)  # NaN and Infinity are words
+    return float(value or 0) if kind.kind == "f" else int(value or 0)  # NaN and Infinity are words
 
 
 def _array(key: str, spec: dict, attributes: dict) -> Array:
@@ -158,10 +158,11 @@ def _decoded(data: bytes, a: Array) -> np.ndarray:
 
 
 def places(spark: SparkSession, path: str, a: Array, *, box: tuple[tuple[int, int], ...] | None = None, zeros: bool = False) -> DataFrame:
-    """c, z, y, x, value of an array's non-zero places (all places with zeros): leading dimensions beyond four are taken at 0,
+    """c, z, y, x, value (long where the array holds integers, else double) of an array's non-zero places (all places with zeros): leading dimensions beyond four are taken at 0,
     c is 0 without a channel dimension. box bounds z, y, x half-open; chunks outside it are not read. A chunk that the store
     leaves out holds the array's fill value."""
     n, chunks = len(a.shape), a.chunks
+    kind = np.float64 if np.dtype(a.dtype).kind == "f" else np.int64
     key = re.escape(a.prefix) + re.escape(a.separator).join([r"\d+"] * n)
     top = f"{path.rstrip('/')}/{a.key}".rstrip("/")
     files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(top).filter(F.col("path").rlike(rf"/{key}$") & ~F.col("path").rlike(r"\.z\w+$"))
@@ -195,9 +196,9 @@ def places(spark: SparkSession, path: str, a: Array, *, box: tuple[tuple[int, in
                     ok &= (s >= lo) & (s < hi)
                 c = spots[0] if dims == 4 else np.zeros(spots.shape[1], np.int64)
                 z, y, x = spots[-3:]
-                yield pa.RecordBatch.from_arrays([pa.array(v[ok].astype(t)) for v, t in ((c, np.int32), (z, np.int32), (y, np.int32), (x, np.int32), (value, np.float64))], ["c", "z", "y", "x", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(v[ok].astype(t)) for v, t in ((c, np.int32), (z, np.int32), (y, np.int32), (x, np.int32), (value, kind))], ["c", "z", "y", "x", "value"])
 
-    return files.mapInArrow(run, "c int, z int, y int, x int, value double")
+    return files.mapInArrow(run, f"c int, z int, y int, x int, value {'long' if kind is np.int64 else 'double'}")
 
 
 def labels(spark: SparkSession, path: str, a: Array, **options) -> DataFrame:

@@ -9,7 +9,7 @@ from lattica.plans.oracles import ORACLES
 
 DIR = "/root/testdata/sf0.001"
 #: The slower half shares its parts with these.
-NAMES = ["zonal_stats", "zonal_of_grid", "halo_boxes", "surface_voxels", "cell_surface_6n", "candidate_pairs", "near_pairs_exact", "near_pairs_parity", "neighbor_edges", "cell_connectivity", "volume_table", "cell_only_volumes", "upsert_keep_last", "pair_crop", "neighbors_2d"]
+NAMES = ["zonal_stats", "zonal_of_grid", "halo_boxes", "surface_voxels", "cell_surface_6n", "candidate_pairs", "near_pairs_exact", "near_pairs_parity", "neighbor_edges", "cell_connectivity", "volume_table", "volume_components", "volume_stats", "volume_distribution", "high_volume", "cell_only_volumes", "renumbered", "resume_remaining", "upsert_keep_last", "pair_crop", "neighbors_2d"]
 
 
 @pytest.fixture(scope="module")

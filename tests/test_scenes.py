@@ -344,3 +344,60 @@ def test_fill_values(spark, tmp_path):
     found = zarr.arrays(spark, str(tmp_path))
     got = zarr.labels(spark, str(tmp_path), found["0"], box=((0, 2), (1, 3), (0, 5))).collect()
     assert sorted(tuple(x) for x in got) == [(z, y, x, 6) for z in range(2) for y in (1, 2) for x in range(5)]
+
+
+def test_distances_agree():
+    """The transform against comparing each with each, by steps and in micrometres."""
+    from lattica.operators.spatial import _compared, _transformed
+
+    g = np.random.default_rng(3)
+    for _ in range(20):
+        at, of = g.integers(-5, 25, (200, 3)), g.integers(-5, 25, (60, 3))
+        for sizes, reach, pads in ((np.array([0.56, 0.28, 0.28]), 3.0, [6, 11, 11]), (None, 7, [7, 7, 7])):
+            want, got = _compared(at, of, sizes), _transformed(at, of, sizes, pads)
+            near = want <= (reach * reach if sizes is not None else reach)
+            assert (got[near] == want[near]).all() and (got[~near] > (reach * reach if sizes is not None else reach)).all()
+
+
+def test_order_of_metadata_directs_near_pairs(spark):
+    rows = cube(1, 0, 0, 0) + cube(2, 0, 0, 4)
+    cells = spark.createDataFrame([(2, "T", 5.0, 1.0, 1.0, 0), (1, "U", 1.0, 1.0, 1.0, 1)], "cell_id long, cell_type string, centroid_x double, centroid_y double, centroid_z double, place int")
+    for order, want in (("cell_id", (1, 2)), ("place", (2, 1))):
+        (r,) = neighbors.find_neighbors(frame(spark, rows), cells, GRID, max_distance_um=0.6, prefilter_um=5.0, order=order).collect()
+        assert (r.cell_id_a, r.cell_id_b) == want
+
+
+def test_key_order_and_large_ids(spark, tmp_path):
+    """`labels` comes before `0/0`; ids beyond 2^53 are kept."""
+    big = 2**60 + 1
+    for key, value in (("labels", big), ("0/0", 7)):
+        top = tmp_path / "l.zarr" / key
+        top.mkdir(parents=True)
+        (top / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": [2, 2, 2], "chunks": [2, 2, 2], "dtype": "<i8", "compressor": None, "fill_value": 0, "order": "C", "filters": None}))
+        (top / "0.0.0").write_bytes(np.full((2, 2, 2), value, "<i8").tobytes())
+    a = zarr.label_array(zarr.arrays(spark, str(tmp_path / "l.zarr")))
+    assert a.key == "labels" and {r.label for r in zarr.labels(spark, str(tmp_path / "l.zarr"), a).collect()} == {big}
+
+
+def test_pair_layers(spark, tmp_path):
+    """A pair's voxels and its cells', from a volume table of each kind."""
+    import sqlite3
+
+    from lattica.plans import cli
+    from lattica.sources import metadata
+
+    zarr.write_labels(frame(spark, [(2, 2, 2, 5), (3, 3, 3, 6)]), str(tmp_path / "v.zarr"), (12, 12, 12))
+    zarr.write_labels(frame(spark, [(2, 2, 3, 1), (2, 2, 1, 2), (9, 9, 9, 3)]), str(tmp_path / "c.zarr"), (12, 12, 12))
+    with sqlite3.connect(tmp_path / "p.db") as c:
+        c.execute("CREATE TABLE interscellar_volumes (pair_id INTEGER, cell_a_id INTEGER, cell_b_id INTEGER)")
+        c.executemany("INSERT INTO interscellar_volumes VALUES (?, ?, ?)", [(5, 1, 2), (6, 3, 1)])
+    (tmp_path / "p.csv").write_text("pair_id,cell_id_a,cell_id_b\n5,1,2\n6,3,1\n")
+    for table in ("p.db", "p.csv"):
+        args = ["--zarr", str(tmp_path / "v.zarr"), "--cell-only-zarr", str(tmp_path / "c.zarr"), "--pairs", str(tmp_path / table), "--output", str(tmp_path / "out")]
+        cli.main(["select-pair", *args, "--pair-id", "5", "--pad", "1"], spark)
+        got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out/voxels")).select("layer", "z", "y", "x", "label").collect())
+        assert got == [("cell", 1, 1, 1, 2), ("cell", 1, 1, 3, 1), ("pair", 1, 1, 2, 5)]
+        cli.main(["select-multi", *args, "--pair-ids", "5,6"], spark)
+        assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out/counts")).collect()) == [("cell", 1, 1), ("cell", 2, 1), ("cell", 3, 1), ("pair", 5, 1), ("pair", 6, 1)]
+    with pytest.raises(ValueError, match="9"):
+        metadata.cells_of(metadata.pair_table(spark, str(tmp_path / "p.csv")), [5, 9])
