@@ -1,7 +1,8 @@
 """Label and channel volumes in chunked array stores (version 2 and 3), read and written by Spark.
 
 Chunks are files: Spark lists and reads them as binary files from any file system it knows, and each is decoded where it is
-read. A volume is a sparse table of its non-zero places. Byte codecs: none, gzip, zlib and zstd.
+read. A volume is a sparse table of its non-zero places. Byte codecs: none, gzip, zlib, zstd, blosc
+(see functions.frames) and crc32c.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import json
 import math
 import os
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions import frames
+
 #: Names under which label arrays are looked for, best first.
 LABEL_KEYS = ["labels", "0/0", "0"]
 
@@ -33,7 +35,7 @@ class Array:
     chunks: tuple[int, ...]
     dtype: str
     order: str
-    codec: str | None
+    codecs: tuple[str, ...]
     separator: str
     prefix: str
     attributes: dict
@@ -55,17 +57,17 @@ def _array(key: str, spec: dict, attributes: dict) -> Array:
     if "zarr_format" in spec and spec["zarr_format"] == 3:
         codecs = spec.get("codecs", [])
         endian = next((c.get("configuration", {}).get("endian", "little") for c in codecs if c["name"] == "bytes"), "little")
-        names = [c["name"] for c in codecs if c["name"] not in ("bytes", "crc32c")]
-        if len(names) > 1 or any(c["name"] in ("crc32c", "sharding_indexed", "transpose") for c in codecs):
+        names = tuple(c["name"] for c in codecs if c["name"] != "bytes")
+        if any(c not in frames.CODECS for c in names):
             raise ValueError(f"codecs of {key} can't be read: {[c['name'] for c in codecs]}")
         kind = np.dtype(spec["data_type"]).newbyteorder("<" if endian == "little" else ">").str
         enc = spec.get("chunk_key_encoding", {"name": "default"})
         sep = enc.get("configuration", {}).get("separator", "/" if enc["name"] == "default" else ".")
-        return Array(key, tuple(spec["shape"]), tuple(spec["chunk_grid"]["configuration"]["chunk_shape"]), kind, "C", names[0] if names else None, sep, "c" + sep if enc["name"] == "default" else "", {**spec.get("attributes", {}), **attributes}, _fill(spec.get("fill_value"), np.dtype(kind)))
+        return Array(key, tuple(spec["shape"]), tuple(spec["chunk_grid"]["configuration"]["chunk_shape"]), kind, "C", names, sep, "c" + sep if enc["name"] == "default" else "", {**spec.get("attributes", {}), **attributes}, _fill(spec.get("fill_value"), np.dtype(kind)))
     comp = spec.get("compressor")
     if spec.get("filters"):
         raise ValueError(f"filters of {key} can't be read")
-    return Array(key, tuple(spec["shape"]), tuple(spec["chunks"]), spec["dtype"], spec.get("order", "C"), comp["id"] if comp else None, spec.get("dimension_separator", "."), "", attributes, _fill(spec.get("fill_value"), np.dtype(spec["dtype"])))
+    return Array(key, tuple(spec["shape"]), tuple(spec["chunks"]), spec["dtype"], spec.get("order", "C"), (comp["id"],) if comp else (), spec.get("dimension_separator", "."), "", attributes, _fill(spec.get("fill_value"), np.dtype(spec["dtype"])))
 
 
 def arrays(spark: SparkSession, path: str, depth: int = 2) -> dict[str, Array]:
@@ -145,15 +147,7 @@ def channel_array(found: dict[str, Array], label_shapes: list[tuple[int, ...]],
 
 
 def _decoded(data: bytes, a: Array) -> np.ndarray:
-    if a.codec in ("gzip", "zlib"):
-        data = zlib.decompress(data, 47)
-    elif a.codec == "zstd":
-        import zstandard
-
-        data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
-    elif a.codec is not None:
-        raise ValueError(f"codec {a.codec} can't be read")
-    out = np.frombuffer(data, np.dtype(a.dtype)).reshape(a.chunks, order=a.order)
+    out = np.frombuffer(frames.decoded(data, a.codecs), np.dtype(a.dtype)).reshape(a.chunks, order=a.order)
     return out.astype(out.dtype.newbyteorder("="), copy=False)
 
 
