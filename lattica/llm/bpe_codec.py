@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from lattica.llm.common import hold, small_batches
 from lattica.llm.pretokens import CUT, plain
 
-#: Words and pairs that a worker keeps (some 400 and 100 bytes each), and the longest word that is kept.
-KEPT, KEPT_PAIRS, KEPT_CHARS = 200_000, 300_000, 40
+#: Words and pairs that a worker keeps (some 200 and 100 bytes each), and the longest word that is kept.
+KEPT, KEPT_PAIRS, KEPT_CHARS = 120_000, 300_000, 40
+#: Ids that are made decimal at once.
+RUN = 1 << 16
 #: Stands for no token before the first; ids are smaller.
 NONE = (1 << 17) - 1
 
@@ -96,8 +98,7 @@ class Codec:
         from tokenizers import pre_tokenizers
 
         self.lib_cut = pre_tokenizers.ByteLevel(add_prefix_space=False)
-        self.binary_of: dict[str, bytes] = {}  # ids of a known word in binary
-        self.decimal_of: dict[str, str] = {}  # and in decimal, each with a comma after it
+        self.binary_of: dict[str, bytes] = {}  # ids of a known word
 
     def merged(self, data: str) -> list[int]:
         """Merges by rank, step by step: for the table's entries only, which are short."""
@@ -165,34 +166,29 @@ class Codec:
         return CUT.findall(text) if plain(text) else [text[a:b] for _, (a, b) in self.lib_cut.pre_tokenize_str(text)]
 
     def learn(self, words: set[str]) -> None:
-        """Put words into the two tables of known words."""
-        decimal = self.decimal
+        """Put words into the table of known words."""
         for word in words:
-            ids = self.encode_word(word.encode())
-            self.binary_of[word] = array("i", ids).tobytes()
-            self.decimal_of[word] = "".join([decimal[i] for i in ids])
+            self.binary_of[word] = array("i", self.encode_word(word.encode())).tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """Ids as an array, and as decimal numbers joined by commas."""
         binary: list[bytes] = []
-        decimal: list[str] = []
         for part in self.special_re.split(text) if self.special_re else [text]:
             if part in self.special:
                 binary.append(np.int32(self.special[part]).tobytes())
-                decimal.append(self.decimal[self.special[part]])
             elif part:
                 words = self.cut(part)
                 new = set(words).difference(self.binary_of)
                 self.learn(new)
                 binary += map(self.binary_of.__getitem__, words)
-                decimal += map(self.decimal_of.__getitem__, words)
                 for word in new:
                     if len(word) > KEPT_CHARS:
-                        del self.binary_of[word], self.decimal_of[word]
+                        del self.binary_of[word]
                 if len(self.binary_of) > KEPT:
                     self.binary_of.clear()
-                    self.decimal_of.clear()
-        return np.frombuffer(b"".join(binary), np.int32), "".join(decimal)[:-1]
+        ids = np.frombuffer(b"".join(binary), np.int32)
+        decimal = ["".join(map(self.decimal.__getitem__, ids[k : k + RUN].tolist())) for k in range(0, len(ids), RUN)]
+        return ids, "".join(decimal)[:-1]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; bytes that aren't UTF-8 become the replacement character, as in the library."""
