@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import hold, small_batches
+from lattica.llm.common import give_back, hold, small_batches
 from lattica.llm.pretokens import CUT, plain
 
 #: Words and pairs that a worker keeps (some 200 and 100 bytes each), and the longest word that is kept.
@@ -223,6 +223,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
                 for k in keep:
                     out[k].append(ids if k == "ids" else decoded if k == "decoded" else len(ids) if k == "n_tokens" else hashlib.sha256((decimal if k == "ids_sha256" else decoded).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(out[k], kinds[k][1]) for k in keep)], [*b.schema.names[1:], *(f"new_{k}" for k in keep)])
+            del out
+            give_back()
 
     rows = docs.select(F.col(text_col).cast("string").alias("text_in"), F.col(id_col).alias("id_in"), *(F.col(c).alias(f"own_{c}") for c in extra))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), *(f"new_{k} {kinds[k][0]}" for k in keep)])

@@ -7,6 +7,7 @@ import gc
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +47,16 @@ def hold(name: str, clear: Callable[[], None] = lambda: None) -> None:
     _held[name] = clear
     if others:
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            pass  # only some C libraries have it
+        give_back()
+
+
+def give_back() -> None:
+    """Give memory that this Python worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only some C libraries have it
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
