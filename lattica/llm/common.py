@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.session import shared_dir
@@ -16,6 +16,9 @@ from lattica.session import shared_dir
 #: Most records and bytes of one Arrow batch (a single longer row is a batch of its own).
 BATCH_RECORDS, BATCH_BYTES = 1000, 4 << 20
 
+#: Most files whose paths (some 150 bytes each) are broadcast to number rows, and the bits of a row's place in its file.
+MOST_FILES, PLACE_BITS = 100_000, 40
+
 #: A word: a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,6 +72,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _one_table(docs: DataFrame) -> bool:
+    """Whether `docs` is a Parquet table as it was read from one path, so that no file is read twice."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat" and plan.relation().location().rootPaths().size() == 1
+
+
+def with_row(docs: DataFrame, columns: list[F.Column], name: str) -> DataFrame:
+    """`columns` of `docs` and `row`, a number of each row's own that is the same in every reading. Rows of a Parquet table
+    have it by their file and place; others, and those of more than MOST_FILES files, are written with a number."""
+    if _one_table(docs):
+        at = docs.metadataColumn("_metadata")
+        files = docs.select(at["file_path"].alias("row_file")).distinct()
+        files = written(files.select("row_file", F.row_number().over(Window.orderBy("row_file")).cast("long").alias("file_number")), "files")
+        if files.count() <= MOST_FILES:
+            placed = docs.select(*columns, at["file_path"].alias("row_file"), at["row_index"].alias("row_place")).join(F.broadcast(files), "row_file")
+            return needs(placed.withColumn("row", F.shiftleft("file_number", PLACE_BITS) + F.col("row_place")).drop("row_file", "row_place", "file_number"), files)
+        discard(files)
+    return written(docs.select(*columns, F.monotonically_increasing_id().alias("row")), name)
+
+
 def needs(df: DataFrame, *frames: DataFrame) -> DataFrame:
     """`df`, whose reader may discard() the written tables it is computed from together with it."""
     df._scratch = [p for f in frames for p in getattr(f, "_scratch", [])]

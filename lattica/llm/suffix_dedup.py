@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import discard, hold, needs, small_batches, written
+from lattica.llm.common import discard, hold, needs, small_batches, with_row, written
 
 LENGTH, GRAM = 200, 32
 #: Bytes of contexts (some 350 each) of one shard, shards of a family, and bytes that are hashed at once.
@@ -385,8 +385,8 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     the remaining bytes), kept (the remaining text, without incomplete characters), for every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("data"), *(F.col(c).alias(f"own_{c}") for c in extra))
-    texts = written(base.withColumn("row", F.monotonically_increasing_id()), "texts")
+    base = [F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("data"), *(F.col(c).alias(f"own_{c}") for c in extra)]
+    texts = with_row(docs, base, "texts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("suffix_dedup")
