@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe_codec, language_id, minhash_dedup, mixing, suffix_dedup
-from lattica.llm.common import discard, needs, table, written
+from lattica.llm.common import discard, needs, table, with_row, written
 from lattica.llm.queries import TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")  # numbers are given once
+    rows = with_row(docs, [F.col(c) for c in COLUMNS], "rows")
     judged = minhash_dedup.near_duplicates(rows.select("doc_id", "text", "row"), extra=("row",))
     # rows that repeat a kept document: the first of each component stays; components may share an id, or have none
     group = judged.filter("kept and comp is not null")
