@@ -8,7 +8,7 @@ In each bucket of a table, the class whose half keys are the most common is the
 it: the star's links. Connected components of these links settle nearly all members. What a star can't see are links
 between members of which one isn't linked to the leader; so members outside the leader's component meet those of other
 components in their bucket as well, if their sizes are of the same or of neighbouring classes (a class is a factor of
-100 / percent, so sets that are similar enough never lie farther apart).
+100 / percent, so sets that are similar enough never lie farther apart). Two that share many tables meet in the first alone.
 
 Before full sets are compared, odd sketches rule pairs out, without error: a bit of a sketch is the parity of the members
 that hash to it, so the bits in which two sketches differ number at most the members in which the sets differ. So no bucket
@@ -172,6 +172,12 @@ def _possible(x: str, y: str, percent: int) -> Column:
     return near & (differ * (100 + percent) <= n * (100 - percent))
 
 
+def _first_shared(x: str, y: str, places: range) -> Column:
+    """The first of the half keys at `places` that two classes (columns halves_) share, or null."""
+    at = lambda c, k: F.get(f"halves_{c}", F.lit(k))
+    return F.coalesce(*(F.when(at(x, k) == at(y, k), at(x, k)) for k in places))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """v, members (sorted hashes) of the classes in wanted (v), from one document of each class."""
     picked = written(classes.join(wanted, "v", "left_semi").select("v", "id", "cls"), "wanted")
@@ -228,13 +234,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comp_of = lambda c: comps.select(F.col("v").alias(c), F.col("comp").alias(f"comp_{c}"))
     tagged = members.filter("c > 2 and v <> a").join(comp_of("v"), "v", "left").join(comp_of("a"), "a", "left")
     tagged = tagged.select("key", "v", F.coalesce("comp_v", "v").alias("comp"), F.coalesce("comp_a", "a").alias("of"))
-    outside = tagged.filter("comp <> of")
+    tagged = tagged.withColumn("out", F.col("comp") != F.col("of"))
+    outside = tagged.filter("out")
     inside = tagged.join(outside.select("key").distinct(), "key", "left_semi")
     width = math.log(max(100 / percent, 1.01)) * (1 + 1e-9)  # no rounding makes a class too narrow
-    # of the members that meet, only sizes and sketches travel; full sets follow for the few pairs that these allow
-    described = lambda df, c: df.join(classes.select("v", "n", "sketch"), "v").select("key", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int").alias("size_class"), *(F.col(x).alias(f"{x}_{c}") for x in ("v", "comp", "n", "sketch")))
+    # of the members that meet, only sizes, sketches and half keys travel; full sets follow for the few pairs that these allow
+    described = lambda df, c: df.join(classes.select("v", "n", "sketch", "halves"), "v").select("key", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int").alias("size_class"), *(F.col(x).alias(f"{x}_{c}") for x in ("v", "comp", "out", "n", "sketch", "halves")))
     around = described(inside, "y").withColumn("size_class", F.explode(F.array(*[F.col("size_class") + k for k in (-1, 0, 1)])))
-    rest = described(outside, "x").join(around, ["key", "size_class"]).filter((F.col("comp_x") != F.col("comp_y")) & _possible("x", "y", percent))
+    # a pair that shares many tables meets in the first of them only, and of two outsiders the lesser is x: in every bucket
+    # that it shares one of the two is an outsider, as their components differ, or one is the leader and met in the star
+    first = F.xxhash64(*(_first_shared("x", "y", places) for places in (range(SIDE), range(SIDE, 2 * SIDE))))
+    once = (~F.col("out_y") | (F.col("v_x") < F.col("v_y"))) & (F.col("key") == first)
+    rest = described(outside, "x").withColumnRenamed("key", "key_x").withColumnRenamed("size_class", "class_x").join(around, (F.col("key_x") == F.col("key")) & (F.col("class_x") == F.col("size_class")) & (F.col("comp_x") != F.col("comp_y")) & _possible("x", "y", percent) & once)
     rest = written(rest.select(F.least("v_x", "v_y").alias("a"), F.greatest("v_x", "v_y").alias("b")).distinct(), "rest")
     if rest.head(1):
         missing = ends(rest).join(sets.select("v"), "v", "left_anti")
