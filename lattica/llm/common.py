@@ -62,6 +62,13 @@ def give_back() -> None:
         pass  # only some C libraries have it
 
 
+def settle(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect their garbage and give back free heap, so that a stage doesn't begin in the heap that
+    the one before it has left: beside it, Python workers need room of their own. Two tasks for each core, so that all get one."""
+    n = max(1, 2 * spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and reread: lineage is cut and lost executors cost no recomputation."""
     spark = df.sparkSession
