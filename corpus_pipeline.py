@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe_codec, language_id, minhash_dedup, mixing, suffix_dedup
-from lattica.llm.common import discard, needs, table, with_row, written
+from lattica.llm.common import discard, needs, settle, table, with_row, written
 from lattica.llm.queries import TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,12 +29,14 @@ LEAST_SCORE, BROADCAST_ROWS = 0.5, 1_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     model = language_id.train(docs.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, F.lit(True))))
     told = language_id.predicted(docs, model, extra=COLUMNS[1:])
     return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     rows = with_row(docs, [F.col(c) for c in COLUMNS], "rows")
     judged = minhash_dedup.near_duplicates(rows.select("doc_id", "text", "row"), extra=("row",))
     # rows that repeat a kept document: the first of each component stays; components may share an id, or have none
@@ -49,11 +51,13 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     cut = suffix_dedup.repeats_removed(docs, keep=("kept",), extra=("lang", "source"))
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     taken = mixing.mixed(docs, extra=COLUMNS[1:], copies=True)
     # a document that is taken in part gives its first words
     part = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.greatest(F.lit(0), F.col("words").cast("int"))), " ")
@@ -62,6 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return bpe_codec.encode_decode(docs, TOKENIZER, keep=("n_tokens", "ids", "ids_sha256", "decoded_sha256"), extra=("lang", "source"))
 
 
