@@ -7,8 +7,9 @@ key, so 2 * SIDE * 2 minhashes serve SIDE * SIDE tables. Half keys that only one
 In each bucket of a table, the class whose half keys are the most common is the leader, and every member is compared with
 it: the star's links. Connected components of these links settle nearly all members. What a star can't see are links
 between members of which one isn't linked to the leader; so members outside the leader's component meet those of other
-components in their bucket as well, if their sizes are of the same or of neighbouring classes (a class is a factor of
-100 / percent, so sets that are similar enough never lie farther apart). Two that share many tables meet in the first alone.
+components in their bucket as well, by sizes and sketches alone and in vector operations, not as rows of a join: a bucket's
+rows stream past its outsiders, which are dealt to several tasks where they are many. Two that share many tables go on
+from the first alone.
 
 Before full sets are compared, odd sketches rule pairs out, without error: a bit of a sketch is the parity of the members
 that hash to it, so the bits in which two sketches differ number at most the members in which the sets differ. So no bucket
@@ -23,7 +24,6 @@ are taken whole; an empty table gives an empty result; other columns are ignored
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -39,6 +39,9 @@ from lattica.llm.common import discard, hold, small_batches, written
 SIDE, ROWS, SHINGLE, PERCENT = 12, 2, 5, 75
 #: Words of 64 bits in an odd sketch.
 SKETCH = 16
+#: Pairs of a bucket, and outsiders, that one task compares or holds at once (about: outsiders are dealt by a hash); pairs
+#: of one vector operation.
+PIECE_PAIRS, PIECE_OUTSIDERS, BLOCK_PAIRS = 200_000_000, 30_000, 1 << 15
 #: Most class ids (8 bytes each) that are broadcast to pick rows; beyond it they are joined.
 BROADCAST_IDS = 1_000_000
 #: Words whose hashes a Python worker keeps.
@@ -96,6 +99,20 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def table_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """F.xxhash64 of two columns of longs."""
+    p = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+    turned = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    out = np.full(len(left), 42, np.uint64)
+    for x in (left, right):
+        out = (out + (p[4] + np.uint64(8))) ^ (turned(x.view(np.uint64) * p[1], 31) * p[0])
+        out = turned(out, 27) * p[0] + p[3]
+        for shift, by in ((33, p[1]), (29, p[2])):
+            out = (out ^ (out >> np.uint64(shift))) * by
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, extra: tuple[str, ...]) -> DataFrame:
     """id, the columns of `extra` (own_...), n (set size), cls (128-bit hash of the set; null if empty), halves and sketch
     of every row."""
@@ -172,10 +189,66 @@ def _possible(x: str, y: str, percent: int) -> Column:
     return near & (differ * (100 + percent) <= n * (100 - percent))
 
 
-def _first_shared(x: str, y: str, places: range) -> Column:
-    """The first of the half keys at `places` that two classes (columns halves_) share, or null."""
-    at = lambda c, k: F.get(f"halves_{c}", F.lit(k))
-    return F.coalesce(*(F.when(at(x, k) == at(y, k), at(x, k)) for k in places))
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of each bucket (key) and piece of `rows` of which one at least is an x of the piece, the components (comp)
+    differ, and sizes and odd sketches allow the similarity; each pair in the first table that it shares, and once there.
+
+    Rows come sorted, x first, and each meets the x before it. So only the x of one piece are held, by batches of rows, and
+    a comparison costs a few vector operations on SKETCH words.
+    """
+    small_batches(rows.sparkSession)
+    longs = ("key", "piece", "v", "comp", "n")
+
+    def read(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        lists = [np.asarray(b.column(c).flatten()).reshape(b.num_rows, -1) for c in ("sketch", "halves")]
+        return np.stack([np.asarray(b.column(c).cast(pa.int64())) for c in longs]), np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "out")]), lists[0].view(np.uint64).T, lists[1].T
+
+    def meet(facts: np.ndarray, flags: np.ndarray, sketch: np.ndarray, halves: np.ndarray, y: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The pairs (x, y) of places that may be linked."""
+        _, _, v, comp, n = facts
+        # an outsider that is an x of another piece meets there those whose number is greater
+        ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (flags[0][y] | ~flags[1][y] | (v[x] < v[y]))
+        x, y = x[ok], y[ok]
+        differ = np.zeros(len(x), np.int64)
+        for word in sketch:
+            differ += np.bitwise_count(word[x] ^ word[y])
+        ok = differ * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+        x, y = x[ok], y[ok]
+        if not len(x):
+            return
+        # a pair that shares many tables counts in the first of them only
+        same = halves[:, x] == halves[:, y]
+        ok = table_keys(halves[same[:SIDE].argmax(0), x], halves[SIDE + same[SIDE:].argmax(0), x]) == facts[0][x]
+        x, y = x[ok], y[ok]
+        yield pa.RecordBatch.from_arrays([pa.array(f(v[x], v[y])) for f in (np.minimum, np.maximum)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("minhash_dedup", _known.clear)
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now, old = read(b), 0
+            if held is not None and (held[0][:2, 0] == now[0][:2, 0]).all():
+                old, now = held[0].shape[1], tuple(np.concatenate(c, 1) for c in zip(held, now, strict=True))
+            facts, flags = now[:2]
+            begins = np.r_[True, (facts[:2, 1:] != facts[:2, :-1]).any(0)]
+            start = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+            before = np.r_[0, np.cumsum(flags[0])]  # x before each row
+            count = (before[:-1] - before[start])[old:]  # they lie at the start of their piece
+            ends = np.r_[0, np.cumsum(count)]
+            # a row can meet very many x, so pairs are numbered, and taken by number
+            for at in range(0, int(ends[-1]), BLOCK_PAIRS):
+                pair = np.arange(at, min(at + BLOCK_PAIRS, ends[-1]))
+                row = np.searchsorted(ends, pair, "right") - 1
+                yield from meet(*now, row + old, start[row + old] + pair - ends[row])
+            last = start[-1]
+            held = tuple(c[:, last : last + int(before[-1] - before[last])].copy() for c in now)
+            if not held[0].shape[1]:
+                held = None
+
+    rows = rows.repartition("key", "piece").sortWithinPartitions("key", "piece", F.desc("x"))
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -233,20 +306,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # the rest: members of a bucket that aren't in the leader's component
     comp_of = lambda c: comps.select(F.col("v").alias(c), F.col("comp").alias(f"comp_{c}"))
     tagged = members.filter("c > 2 and v <> a").join(comp_of("v"), "v", "left").join(comp_of("a"), "a", "left")
-    tagged = tagged.select("key", "v", F.coalesce("comp_v", "v").alias("comp"), F.coalesce("comp_a", "a").alias("of"))
+    tagged = tagged.select("key", "c", "v", F.coalesce("comp_v", "v").alias("comp"), F.coalesce("comp_a", "a").alias("of"))
     tagged = tagged.withColumn("out", F.col("comp") != F.col("of"))
     outside = tagged.filter("out")
-    inside = tagged.join(outside.select("key").distinct(), "key", "left_semi")
-    width = math.log(max(100 / percent, 1.01)) * (1 + 1e-9)  # no rounding makes a class too narrow
+    # a bucket's outsiders are dealt to pieces by the work that they make; each piece reads the whole bucket, as a stream
+    pieces = F.greatest(F.ceil(F.count("*") * F.first("c") / F.lit(PIECE_PAIRS)), F.ceil(F.count("*") / F.lit(PIECE_OUTSIDERS)))
+    inside = tagged.join(outside.groupBy("key").agg(pieces.cast("int").alias("pieces")), "key")
+    inside = inside.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("x", F.col("out") & (F.pmod(F.xxhash64("v"), "pieces") == F.col("piece")))
     # of the members that meet, only sizes, sketches and half keys travel; full sets follow for the few pairs that these allow
-    described = lambda df, c: df.join(classes.select("v", "n", "sketch", "halves"), "v").select("key", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int").alias("size_class"), *(F.col(x).alias(f"{x}_{c}") for x in ("v", "comp", "out", "n", "sketch", "halves")))
-    around = described(inside, "y").withColumn("size_class", F.explode(F.array(*[F.col("size_class") + k for k in (-1, 0, 1)])))
-    # a pair that shares many tables meets in the first of them only, and of two outsiders the lesser is x: in every bucket
-    # that it shares one of the two is an outsider, as their components differ, or one is the leader and met in the star
-    first = F.xxhash64(*(_first_shared("x", "y", places) for places in (range(SIDE), range(SIDE, 2 * SIDE))))
-    once = (~F.col("out_y") | (F.col("v_x") < F.col("v_y"))) & (F.col("key") == first)
-    rest = described(outside, "x").withColumnRenamed("key", "key_x").withColumnRenamed("size_class", "class_x").join(around, (F.col("key_x") == F.col("key")) & (F.col("class_x") == F.col("size_class")) & (F.col("comp_x") != F.col("comp_y")) & _possible("x", "y", percent) & once)
-    rest = written(rest.select(F.least("v_x", "v_y").alias("a"), F.greatest("v_x", "v_y").alias("b")).distinct(), "rest")
+    rest = _met(inside.select("key", "piece", "x", "v", "comp", "out").join(classes.select("v", "n", "sketch", "halves"), "v"), percent)
+    rest = written(rest, "rest")
     if rest.head(1):
         missing = ends(rest).join(sets.select("v"), "v", "left_anti")
         more = _linked(rest, sets.union(_sets(docs, missing, classes, id_col, text_col)), percent)

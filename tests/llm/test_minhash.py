@@ -4,7 +4,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lattica.llm.minhash_dedup import components, near_duplicates, shingles
+from lattica.llm import minhash_dedup
+from lattica.llm.minhash_dedup import SIDE, _met, components, half_keys, near_duplicates, odd_sketch, shingles, table_keys
 
 
 def brute(rows, percent=75):
@@ -93,3 +94,57 @@ def test_shingles():
     assert len(shingles("a b c d e f")) == 2 and len(shingles("a b")) == 1 and len(shingles(" ")) == 0
     assert (shingles("A b C d E") == shingles("a\x0bB  c\nd e")).all()
     assert not np.intersect1d(shingles("É a b c d"), shingles("é a b c d")).size
+
+
+def hot(r, n, spare):
+    """n texts around one core, each with words of its own in `spare` of 40 places, so that two share much but too little."""
+    core = [f"c{i}" for i in range(200)]
+    out = []
+    for i in range(n):
+        words = list(core)
+        for k in r.sample(range(40), spare):
+            words[5 * k] = f"own{i}x{k}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_met_pieces(spark, monkeypatch):
+    """Of a bucket in pieces, over many batches and blocks, the pairs that meet are those of brute force, each once."""
+    r = random.Random(5)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_PAIRS", 64)
+    texts = hot(r, 60, 4) + hot(r, 60, 7)
+    sets = [shingles(t) for t in texts]
+    halves, sketch = [half_keys(s) for s in sets], [odd_sketch(s) for s in sets]
+    for pieces in (1, 3):
+        rows, want, members = [], [], {}
+        for v, h in enumerate(halves):
+            for i in range(SIDE):
+                for j in range(SIDE, 2 * SIDE):
+                    members.setdefault((int(h[i]), int(h[j])), []).append(v)
+        comp, out = [v if v % 3 else 0 for v in range(len(texts))], [v % 3 > 0 for v in range(len(texts))]  # 0 leads a third
+        for (left, right), vs in members.items():
+            rows += [(left, right, p, out[v] and v % pieces == p, v, comp[v], out[v], len(sets[v]), sketch[v].tolist(), halves[v].tolist()) for v in vs for p in range(pieces) if len(vs) > 1]
+        for a in range(len(texts)):
+            for b in range(a):
+                n, same = len(sets[a]) + len(sets[b]), halves[a] == halves[b]
+                differ = int(np.bitwise_count((sketch[a] ^ sketch[b]).view(np.uint64)).sum())
+                if comp[a] != comp[b] and same[:SIDE].any() and same[SIDE:].any() and differ * 175 <= n * 25 and 100 * min(len(sets[a]), len(sets[b])) >= 75 * max(len(sets[a]), len(sets[b])):
+                    want.append((b, a))
+        df = spark.createDataFrame(rows, "l long, r long, piece int, x boolean, v long, comp long, out boolean, n long, sketch array<long>, halves array<long>")
+        got = sorted(tuple(x) for x in _met(df.withColumn("key", F.xxhash64("l", "r")).select("key", *df.columns[2:]), 75).collect())
+        assert want and got == sorted(want)
+
+
+def test_hot_pieces(spark, monkeypatch):
+    """A bucket of many outsiders, dealt to pieces, loses no link."""
+    monkeypatch.setattr(minhash_dedup, "PIECE_PAIRS", 500)
+    r = random.Random(6)
+    rows = list(enumerate(hot(r, 120, 4) + hot(r, 60, 6)))
+    assert sorted(tuple(x)[:4] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows)
+
+
+def test_table_keys(spark):
+    r = random.Random(7)
+    rows = [(r.randrange(-(2**63), 2**63), r.randrange(-(2**63), 2**63)) for _ in range(200)] + [(0, 0), (-1, 2**63 - 1)]
+    want = [x[0] for x in spark.createDataFrame(rows, "l long, r long").select(F.xxhash64("l", "r")).collect()]
+    assert table_keys(*np.array(rows, np.int64).T.copy()).tolist() == want
