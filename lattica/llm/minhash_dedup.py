@@ -12,8 +12,9 @@ rows stream past its outsiders, which are dealt to several tasks where they are
 from the first alone.
 
 Before full sets are compared, odd sketches rule pairs out, without error: a bit of a sketch is the parity of the members
-that hash to it, so the bits in which two sketches differ number at most the members in which the sets differ. So no bucket
-is expanded into pairs, none is capped, and a large group of near copies costs few comparisons of sets a member. At
+that hash to it, so the bits in which two sketches differ number at most the members in which the sets differ. Large sets fill
+a sketch and would all pass, so they have a wide one besides, in proportion to their size, which decides between outsiders.
+So no bucket is expanded into pairs, none is capped, and a large group of near copies costs few comparisons of sets a member. At
 similarity 0.75 a pair shares a table with probability 0.9999; links that are found are confirmed on full sets.
 
 Defined cases: a null or blank text has an empty set, size 0, and is linked with nothing; a text of fewer than 5 words
@@ -39,9 +40,13 @@ from lattica.llm.common import discard, hold, small_batches, written
 SIDE, ROWS, SHINGLE, PERCENT = 12, 2, 5, 75
 #: Words of 64 bits in an odd sketch.
 SKETCH = 16
+#: Words of the widest odd sketch (a power of two times SKETCH), and bits of a wide one for each member at least.
+WIDE, WIDE_BITS = 256, 2
 #: Pairs of a bucket, and outsiders, that one task compares or holds at once (about: outsiders are dealt by a hash); pairs
 #: of one vector operation.
 PIECE_PAIRS, PIECE_OUTSIDERS, BLOCK_PAIRS = 200_000_000, 30_000, 1 << 15
+#: Pairs whose wide sketches are compared at once.
+WIDE_PAIRS = 1 << 12
 #: Most class ids (8 bytes each) that are broadcast to pick rows; beyond it they are joined.
 BROADCAST_IDS = 1_000_000
 #: Words whose hashes a Python worker keeps.
@@ -99,6 +104,23 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(s: np.ndarray) -> np.ndarray | None:
+    """A wide odd sketch as longs, of a number of words that suits the set's size; None for sets to which SKETCH words do."""
+    words = SKETCH
+    while words < WIDE and 64 * words < WIDE_BITS * len(s):
+        words *= 2
+    if words == SKETCH:
+        return None
+    at = ((s.view(np.uint64) * _M1) >> np.uint64(32)) & np.uint64(64 * words - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A wide sketch as that of so many words: places are counted modulo its bits, so halves add up."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words))
+
+
 def table_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """F.xxhash64 of two columns of longs."""
     p = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -114,25 +136,26 @@ def table_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, extra: tuple[str, ...]) -> DataFrame:
-    """id, the columns of `extra` (own_...), n (set size), cls (128-bit hash of the set; null if empty), halves and sketch
-    of every row."""
+    """id, the columns of `extra` (own_...), n (set size), cls (128-bit hash of the set; null if empty), halves, sketch and
+    wide (null but for large sets) of every row."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), *(F.col(c).alias(f"own_{c}") for c in extra))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("minhash_dedup", _known.clear)
         for b in batches:
-            n, cls, halves, sketch = [], [], [], []
+            n, cls, halves, sketch, wide = [], [], [], [], []
             for t in b.column(0):
                 s = shingles(t.as_py())
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 halves.append(half_keys(s) if len(s) else None)
                 sketch.append(odd_sketch(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (halves, sketch))], [*b.schema.names[1:], "n", "cls", "halves", "sketch"])
+                wide.append(wide_sketch(s))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (halves, sketch, wide))], [*b.schema.names[1:], "n", "cls", "halves", "sketch", "wide"])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{own}, n long, cls binary, halves array<long>, sketch array<long>")
+    return rows.mapInArrow(run, f"{own}, n long, cls binary, halves array<long>, sketch array<long>, wide array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,7 +214,7 @@ def _possible(x: str, y: str, percent: int) -> Column:
 
 def _met(rows: DataFrame, percent: int) -> DataFrame:
     """a, b: the pairs of each bucket (key) and piece of `rows` of which one at least is an x of the piece, the components (comp)
-    differ, and sizes and odd sketches allow the similarity; each pair in the first table that it shares, and once there.
+    differ, and sizes and odd sketches, wide ones too, allow the similarity; each pair in the first table that it shares, and once there.
 
     Rows come sorted, x first, and each meets the x before it. So only the x of one piece are held, by batches of rows, and
     a comparison costs a few vector operations on SKETCH words.
@@ -201,9 +224,27 @@ def _met(rows: DataFrame, percent: int) -> DataFrame:
 
     def read(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         lists = [np.asarray(b.column(c).flatten()).reshape(b.num_rows, -1) for c in ("sketch", "halves")]
-        return np.stack([np.asarray(b.column(c).cast(pa.int64())) for c in longs]), np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "out")]), lists[0].view(np.uint64).T, lists[1].T
-
-    def meet(facts: np.ndarray, flags: np.ndarray, sketch: np.ndarray, halves: np.ndarray, y: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        wide = np.full((1, b.num_rows), None, object)
+        if "wide" in b.schema.names:
+            for k in np.flatnonzero(b.column("wide").is_valid().to_numpy(zero_copy_only=False)):
+                wide[0, k] = np.array(b.column("wide")[k].values).view(np.uint64)  # a copy, so that no batch is held for it
+        return np.stack([np.asarray(b.column(c).cast(pa.int64())) for c in longs]), np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "out")]), lists[0].view(np.uint64).T, lists[1].T, wide
+
+    def near(wide: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the wide sketches of pairs of places allow the similarity; where one has none, they do."""
+        size = np.array([0 if w is None else len(w) for w in wide])
+        size, ok = np.minimum(size[x], size[y]), np.ones(len(x), bool)
+        for words in np.unique(size[size > 0]).tolist():
+            of = np.flatnonzero(size == words)
+            for at in range(0, len(of), WIDE_PAIRS):
+                k = of[at : at + WIDE_PAIRS]
+                places, back = np.unique(np.concatenate((x[k], y[k])), return_inverse=True)
+                rows = np.stack([folded(wide[p], words) for p in places])
+                differ = np.bitwise_count(rows[back[: len(k)]] ^ rows[back[len(k) :]]).sum(1, dtype=np.int64)
+                ok[k] = differ * (100 + percent) <= (n[x[k]] + n[y[k]]) * (100 - percent)
+        return ok
+
+    def meet(facts: np.ndarray, flags: np.ndarray, sketch: np.ndarray, halves: np.ndarray, wide: np.ndarray, y: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         """The pairs (x, y) of places that may be linked."""
         _, _, v, comp, n = facts
         # an outsider that is an x of another piece meets there those whose number is greater
@@ -220,6 +261,8 @@ def _met(rows: DataFrame, percent: int) -> DataFrame:
         same = halves[:, x] == halves[:, y]
         ok = table_keys(halves[same[:SIDE].argmax(0), x], halves[SIDE + same[SIDE:].argmax(0), x]) == facts[0][x]
         x, y = x[ok], y[ok]
+        ok = near(wide[0], n, x, y)
+        x, y = x[ok], y[ok]
         yield pa.RecordBatch.from_arrays([pa.array(f(v[x], v[y])) for f in (np.minimum, np.maximum)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +320,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comp (the component's own number, which no two share as they may an id; null for empty sets) of every row."""
     small_batches(docs.sparkSession)
     sig = written(signatures(docs, id_col, text_col, extra).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    classes = sig.filter("cls is not null").groupBy("cls").agg(F.min("row").alias("v"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
+    classes = sig.filter("cls is not null").groupBy("cls").agg(F.min("row").alias("v"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     classes = written(classes, "classes")
 
     # half keys that two classes share, and how common a class's half keys are
@@ -314,7 +357,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     inside = tagged.join(outside.groupBy("key").agg(pieces.cast("int").alias("pieces")), "key")
     inside = inside.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("x", F.col("out") & (F.pmod(F.xxhash64("v"), "pieces") == F.col("piece")))
     # of the members that meet, only sizes, sketches and half keys travel; full sets follow for the few pairs that these allow
-    rest = _met(inside.select("key", "piece", "x", "v", "comp", "out").join(classes.select("v", "n", "sketch", "halves"), "v"), percent)
+    rest = _met(inside.select("key", "piece", "x", "v", "comp", "out").join(classes.select("v", "n", "sketch", "halves", "wide"), "v"), percent)
     rest = written(rest, "rest")
     if rest.head(1):
         missing = ends(rest).join(sets.select("v"), "v", "left_anti")

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lattica.llm import minhash_dedup
-from lattica.llm.minhash_dedup import SIDE, _met, components, half_keys, near_duplicates, odd_sketch, shingles, table_keys
+from lattica.llm.minhash_dedup import SIDE, SKETCH, WIDE, _met, components, folded, half_keys, near_duplicates, odd_sketch, shingles, table_keys, wide_sketch
 
 
 def brute(rows, percent=75):
@@ -148,3 +148,37 @@ def test_table_keys(spark):
     rows = [(r.randrange(-(2**63), 2**63), r.randrange(-(2**63), 2**63)) for _ in range(200)] + [(0, 0), (-1, 2**63 - 1)]
     want = [x[0] for x in spark.createDataFrame(rows, "l long, r long").select(F.xxhash64("l", "r")).collect()]
     assert table_keys(*np.array(rows, np.int64).T.copy()).tolist() == want
+
+
+def long_sets():
+    """Sets that fill a narrow sketch: strangers, and two near copies of the first, one so large that its sketch is wider."""
+    r = np.random.default_rng(8)
+    make = lambda n: np.unique(r.integers(-(2**63), 2**63 - 1, n))
+    sets = [make(n) for n in (4000, 4050, 4100, 4200, 4300, 3900, 20_000, 21_000, 600, 100)]
+    return sets + [np.unique(np.r_[sets[0][:3700], make(250)]), np.unique(np.r_[sets[0], make(300)])]
+
+
+def test_wide_sketch():
+    """The bits in which two wide sketches differ, folded to one width, number at most the members in which the sets do."""
+    sets = long_sets()
+    wide = [wide_sketch(s) for s in sets]
+    assert wide[9] is None and max(len(w) for w in wide if w is not None) == WIDE and len({len(w) for w in wide if w is not None}) > 2
+    for a in range(len(sets)):
+        for b in range(a):
+            if wide[a] is not None and wide[b] is not None:
+                for words in (SKETCH, min(len(wide[a]), len(wide[b]))):
+                    x, y = folded(wide[a], words), folded(wide[b], words)
+                    assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(np.setxor1d(sets[a], sets[b]))
+
+
+def test_met_long(spark, monkeypatch):
+    """Long texts that meet in a table but share little don't go on as pairs; those that may be linked do."""
+    monkeypatch.setattr(minhash_dedup, "WIDE_PAIRS", 4)
+    sets, key = long_sets(), list(range(2 * SIDE))
+    first = int(table_keys(np.array([0]), np.array([SIDE]))[0])
+    lists = lambda x: None if x is None else x.tolist()
+    rows = [(first, 0, True, v, v, True, len(s), odd_sketch(s).tolist(), key, lists(wide_sketch(s))) for v, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "key long, piece int, x boolean, v long, comp long, out boolean, n long, sketch array<long>, halves array<long>, wide array<long>")
+    met = {tuple(x) for x in _met(df, 75).collect()}
+    linked = {(b, a) for a in range(len(sets)) for b in range(a) if 4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b]))}
+    assert linked == {(0, 10), (0, 11), (10, 11)} and met == linked
