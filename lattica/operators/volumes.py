@@ -5,92 +5,63 @@ Pairs are pairs(pair_id, cell_a_id, cell_b_id, cell_a_type, cell_b_type).
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.spatial import nearest
-from lattica.operators.voxels import AXES, boxes, contacts, halo_boxes, surface
+from lattica.operators import gaps
+from lattica.operators.groups import sorted_groups, starts, whole_groups
+from lattica.operators.voxels import AXES
 from lattica.session import materialised
 from lattica.sources.tables import Grid
 
 
-def distance_field(voxels: DataFrame, cells: DataFrame, grid: Grid, *, distance: float, halo_distance: float) -> DataFrame:
-    """cell, z, y, x, d: distance to the cell's part of the global surface, in the cell's halo box, where it is at most the
-    distance and the place is within ceil(distance / least voxel side) face steps of the cell. cells(cell): those wanted."""
-    steps = math.ceil(distance / min(grid.sizes))
-    own = voxels.join(cells.select(F.col("cell").alias("label")), "label", "left_semi")
-    halo = halo_boxes(boxes(own), halo_distance, grid).withColumnRenamed("label", "cell")
-    places = halo
-    for a in AXES:
-        places = places.withColumn(a, F.explode(F.sequence(F.col(f"{a}0"), F.col(f"{a}1") - 1)))
-    skin = surface(voxels).withColumn("flag", F.lit(True))
-    sources = own.join(skin, [*AXES, "label"], "left").select(F.col("label").alias("cell"), *AXES, F.coalesce("flag", F.lit(False)).alias("flag"))
-    return nearest(places.select("cell", *AXES), sources, ["cell"], grid.sizes, distance, steps=steps)
-
-
-def gap_field(voxels: DataFrame, pairs: DataFrame, grid: Grid, *, distance: float, halo_distance: float) -> DataFrame:
-    """pair_id, z, y, x, d, label: places outside both cells with d = d_a + d_b at most the distance; label 0 is background,
-    another is a third cell's. One field a cell serves all its pairs."""
-    wanted = pairs.select(F.explode(F.array("cell_a_id", "cell_b_id")).alias("cell")).distinct()
-    field = materialised(distance_field(voxels, wanted, grid, distance=distance, halo_distance=halo_distance), "field")
-    # pairs go to their cells first, so a place meets only cells that are a pair
-    half = lambda end, d: field.join(pairs.select("pair_id", F.col(end).alias("cell")), "cell").select("pair_id", *AXES, F.col("d").alias(d))
-    both = half("cell_a_id", "_da").join(half("cell_b_id", "_db"), ["pair_id", *AXES]).withColumn("d", F.col("_da") + F.col("_db")).filter(F.col("d") <= distance)
-    both = both.join(pairs.select("pair_id", "cell_a_id", "cell_b_id").filter("cell_a_id <> cell_b_id"), "pair_id")
-    there = both.join(voxels, list(AXES), "left").withColumn("label", F.coalesce("label", F.lit(0)).cast("long"))
-    return there.filter("label <> cell_a_id and label <> cell_b_id").select("pair_id", *AXES, "d", "label")
-
-
-def contact_voxels(voxels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pair_id, z, y, x of voxels of either cell that share a face with the other."""
-    met = contacts(voxels).select("cell_id_a", "cell_id_b", *AXES)
-    two = pairs.select("pair_id", F.least("cell_a_id", "cell_b_id").alias("cell_id_a"), F.greatest("cell_a_id", "cell_b_id").alias("cell_id_b"))
-    return two.join(met, ["cell_id_a", "cell_id_b"]).select("pair_id", *AXES)
-
-
-def rim_voxels(voxels: DataFrame, pairs: DataFrame, field: DataFrame, grid: Grid, threshold: float) -> DataFrame:
-    """pair_id, z, y, x of voxels of either cell within the threshold of the pair's gap, third cells' places included."""
-    with_gap = pairs.join(field.select("pair_id").distinct(), "pair_id", "left_semi")
-    cells = with_gap.select("pair_id", F.explode(F.array("cell_a_id", "cell_b_id")).alias("label"))
-    return nearest(cells.join(voxels, "label").select("pair_id", *AXES), field.select("pair_id", *AXES, F.lit(True).alias("flag")), ["pair_id"], grid.sizes, threshold).select("pair_id", *AXES)
+def _connected(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The least row that each of n rows is linked with, by links one-two: roots hook to lesser roots, then all ways are cut short."""
+    up = np.arange(n)
+    while True:
+        a, b = up[one], up[two]
+        apart = a != b
+        one, two, a, b = one[apart], two[apart], a[apart], b[apart]
+        if not len(one):
+            return up
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
 
 
 def component_sizes(points: DataFrame) -> DataFrame:
     """pair_id, num_components, largest: face-connected parts of each pair's points.
 
-    A pair's gap lies within two halo boxes and is labelled in one task: first runs along x, then runs that overlap in
-    neighbouring lines are joined by union-find.
+    A pair's gap lies within two halo boxes and is labelled in one task, many pairs at a time.
     """
 
-    def run(t: pa.Table) -> pa.Table:
-        p = np.stack([t[a].to_numpy() for a in AXES], 1).astype(np.int64)
-        p = np.unique(p, axis=0)
-        up = np.arange(len(p))
-
-        def find(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        span = p.max(0) - p.min(0) + 2
-        q = p - p.min(0)
-        code = (q[:, 0] * span[1] + q[:, 1]) * span[2] + q[:, 2]
-        for step in (1, span[2], span[1] * span[2]):
-            at = np.searchsorted(code, code + step)
-            hit = np.flatnonzero((at < len(code)) & (code[np.minimum(at, len(code) - 1)] == code + step))
-            for i, j in zip(hit.tolist(), at[hit].tolist(), strict=True):
-                i, j = find(i), find(j)
-                up[max(i, j)] = min(i, j)
-        sizes = np.bincount([find(i) for i in range(len(p))])
-        sizes = sizes[sizes > 0]
-        return pa.table({"pair_id": t["pair_id"].slice(0, 1), "num_components": pa.array([len(sizes)], pa.int64()), "largest": pa.array([int(sizes.max())], pa.int64())})
-
-    return points.select("pair_id", *AXES).groupBy("pair_id").applyInArrow(run, "pair_id long, num_components long, largest long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["pair_id"]):
+            first = starts(t, ["pair_id"])
+            pair = np.repeat(np.arange(len(first)), np.diff(np.r_[first, t.num_rows]))
+            p = np.stack([t[a].to_numpy() for a in AXES], 1).astype(np.int64)
+            p -= np.minimum.reduceat(p, first)[pair]
+            span = p.max(0) + 2  # a place is free between lines, planes and pairs
+            code = np.unique(((pair * span[0] + p[:, 0]) * span[1] + p[:, 1]) * span[2] + p[:, 2])
+            links = []
+            for step in (1, span[2], span[1] * span[2]):
+                at = np.searchsorted(code, code + step)
+                hit = np.flatnonzero(code[np.minimum(at, len(code) - 1)] == code + step)
+                links.append((hit, at[hit]))
+            root = _connected(len(code), *(np.concatenate(c) for c in zip(*links, strict=True)))
+            sizes = np.bincount(root, minlength=len(code))
+            top = np.flatnonzero(sizes)
+            of = code[top] // np.prod(span)
+            largest = np.zeros(len(first), np.int64)
+            np.maximum.at(largest, of, sizes[top])
+            yield pa.RecordBatch.from_arrays([t["pair_id"].take(first).combine_chunks(), pa.array(np.bincount(of, minlength=len(first)), pa.int64()), pa.array(largest)], ["pair_id", "num_components", "largest"])
+
+    ids = F.col("pair_id").cast("long").alias("pair_id")
+    return sorted_groups(points.select(ids, *AXES), ["pair_id"]).mapInArrow(run, "pair_id long, num_components long, largest long")
 
 
 class Volumes:
@@ -102,29 +73,41 @@ class Volumes:
         known = voxels.select(F.col("label").alias("_l")).distinct()
         # a pair of which a cell has no voxel is dropped
         self.pairs = materialised(pairs.join(known, F.col("cell_a_id") == F.col("_l"), "left_semi").join(known, F.col("cell_b_id") == F.col("_l"), "left_semi"), "pairs")
-        self._parts: dict[str, DataFrame] = {}
+        self._parts: DataFrame | None = None
+
+    @property
+    def parts(self) -> DataFrame:
+        """What gaps.parts finds, tile by tile; it is written once, and each part reads its own columns."""
+        if self._parts is None:
+            self._size = gaps.TILE
+            found = gaps.parts(self.voxels, self.pairs, self.grid, distance=self.distance, threshold=self.threshold, halo_distance=self.halo)
+            self._parts = materialised(found, "parts")
+        return self._parts
 
-    def _once(self, name: str, make) -> DataFrame:
-        if name not in self._parts:
-            self._parts[name] = materialised(make(), name)
-        return self._parts[name]
+    def _places(self, numbers: str, *others: str) -> DataFrame:
+        return gaps.places(self.parts, numbers, *others, size=self._size)
 
     @property
     def field(self) -> DataFrame:
-        return self._once("gapfield", lambda: gap_field(self.voxels, self.pairs, self.grid, distance=self.distance, halo_distance=self.halo))
+        """pair_id, z, y, x, d, label: places outside both cells with d = d_a + d_b at most the distance; label 0 is background,
+        another is a third cell's."""
+        free = self._places("gap", "gap_d").select("pair_id", *AXES, F.col("gap_d").alias("d"), F.lit(0).cast("long").alias("label"))
+        return free.union(self._places("third", "third_d", "third_label"))
 
     @property
     def gap(self) -> DataFrame:
         """pair_id, z, y, x of gap voxels, without third cells' voxels."""
-        return self.field.filter("label = 0").select("pair_id", *AXES)
+        return self._places("gap")
 
     @property
     def contact(self) -> DataFrame:
-        return self._once("contact", lambda: contact_voxels(self.voxels, self.pairs))
+        """pair_id, z, y, x of voxels of either cell that share a face with the other."""
+        return self._places("met")
 
     @property
     def rim(self) -> DataFrame:
-        return self._once("rim", lambda: rim_voxels(self.voxels, self.pairs, self.field, self.grid, self.threshold))
+        """pair_id, z, y, x of voxels of either cell within the threshold of the pair's gap, third cells' places included."""
+        return self._places("rim")
 
     @property
     def components(self) -> DataFrame:
@@ -135,11 +118,10 @@ class Volumes:
         """One row a pair: counts, volumes, distances (before third cells are left out), parts and thresholds. The total adds
         the three counts, although rim and contact voxels overlap; union_voxels counts each voxel once."""
         size = self.grid.voxel
-        far = self.field.groupBy("pair_id").agg(F.sum((F.col("label") == 0).cast("long")).alias("edt"), F.avg("d").alias("mean_d"), F.max("d").alias("max_d"))
-        rim = self.rim.groupBy("pair_id").agg(F.count("*").alias("rim"))
-        met = self.contact.groupBy("pair_id").agg(F.count("*").alias("met"))
-        every = self.gap.union(self.rim).union(self.contact).distinct().groupBy("pair_id").agg(F.count("*").alias("every"))
-        out = self.pairs.join(far, "pair_id", "left").join(rim, "pair_id", "left").join(met, "pair_id", "left").join(every, "pair_id", "left").join(self.components, "pair_id", "left")
+        sums = {"edt": "n_gap", "n": "n_field", "sum_d": "sum_d", "rim": "n_rim", "met": "n_met", "every": "n_every"}
+        found = self.parts.filter("pair_id is not null").groupBy("pair_id").agg(*(F.sum(c).alias(k) for k, c in sums.items()), F.max("max_d").alias("max_d"))
+        found = found.withColumn("mean_d", F.when(F.col("n") > 0, F.col("sum_d") / F.col("n")))
+        out = self.pairs.join(found, "pair_id", "left").join(self.components, "pair_id", "left")
         n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
         total = n("edt") + n("rim") + n("met")
         return out.select(
@@ -157,12 +139,12 @@ class Volumes:
     @property
     def mesh(self) -> DataFrame:
         """z, y, x, pair_id: of the pairs that hold a place, the greatest id."""
-        return merged_mesh(self.gap.union(self.rim).union(self.contact))
+        return self._places("mesh", "mesh_pair").select(*AXES, F.col("mesh_pair").alias("pair_id"))
 
     @property
     def cell_only(self) -> DataFrame:
         """Voxels outside the pair-labelled volume."""
-        return cell_only(self.voxels, self.mesh)
+        return self._places("left", "left_label").select(*AXES, F.col("left_label").alias("label"))
 
 
 def merged_mesh(points: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Seeds of a task that makes voxels of them, and tasks at most: a small file is one task, whatever is made of it.
+SEEDS, TASKS = 250, 512
+
+
 @dataclass(frozen=True)
 class Grid:
     """Shape of a label volume in voxels, (z, y, x), and the size of a voxel; nz = 1 stands for an image."""
@@ -40,7 +44,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def seeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """One seed for each supplier on a cubic lattice of pitch 6, typed by region; and the lattice's side."""
     supplier = table(spark, sf_dir, "supplier")
-    g = math.ceil(round(supplier.count() ** (1 / 3), 9) - 1e-9)
+    n = supplier.count()
+    g = math.ceil(round(n ** (1 / 3), 9) - 1e-9)
+    if n > SEEDS:
+        supplier = supplier.repartition(min(TASKS, -(-n // SEEDS)), "s_suppkey")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     typed = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
@@ -80,7 +87,10 @@ def scene_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plane_seeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """One seed for each supplier on a square lattice of pitch 6."""
     supplier = table(spark, sf_dir, "supplier")
-    g = math.ceil(round(supplier.count() ** 0.5, 9) - 1e-9)
+    n = supplier.count()
+    g = math.ceil(round(n**0.5, 9) - 1e-9)
+    if n > SEEDS:
+        supplier = supplier.repartition(min(TASKS, -(-n // SEEDS)), "s_suppkey")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     typed = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
