@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.voxels import AXES, boxes, halo_boxes
+from lattica.operators.voxels import AXES, TILE, boxes, halo_boxes
+from lattica.session import materialised
 from lattica.sources.tables import Grid
 
-#: Voxels along a tile; sums that a transform makes in one step; bytes of distance fields that a tile keeps; tasks at most.
-TILE, AT_ONCE, KEPT, TASKS = 64, 1 << 18, 1 << 27, 2048
+#: Sums that a transform makes in one step; bytes of distance fields that a tile keeps; tasks at most.
+AT_ONCE, KEPT, TASKS = 1 << 18, 1 << 27, 2048
 
 BOX = [f"{a}{k}" for k in (0, 1) for a in AXES]
 #: One row for each pair and tile, counts and places (by their number in the tile); pair_id is null in a tile's own row,
@@ -30,28 +31,76 @@ LISTS = {"gap": pa.int32(), "gap_d": pa.float64(), "third": pa.int32(), "third_d
 COUNTS = ["n_gap", "n_field", "sum_d", "max_d", "n_rim", "n_met", "n_every"]
 
 
-def spread(f: np.ndarray, corner: Sequence[int], low: Sequence[int], high: Sequence[int], costs: Sequence[np.ndarray]) -> np.ndarray:
-    """Least of f plus the cost of the way, for all places of the box low..high; f starts at the corner, costs[axis][k] is that
-    of k places along the axis. Costs are added in the order of the axes, so sums of squares are rounded as SQL rounds them."""
-    for axis in range(3):
-        way = costs[axis][np.abs(np.arange(low[axis], high[axis])[:, None] - np.arange(corner[axis], corner[axis] + f.shape[axis]))]
-        shape = (*f.shape[:axis], len(way), *f.shape[axis + 1 :])
-        if way.size * (f.size // f.shape[axis]) <= AT_ONCE:
-            f = (np.expand_dims(f, axis) + way.reshape(*way.shape, *[1] * (2 - axis))).min(axis + 1)
+class Ways:
+    """Costs of ways along the axes: costs[axis][k] for k places. Tables of few places by few are kept, as boxes are often alike."""
+
+    def __init__(self, costs: Sequence[np.ndarray]):
+        self.costs, self.known = costs, {}
+
+    def table(self, axis: int, shift: int, n_from: int, n_to: int) -> np.ndarray:
+        """Costs from each of n_from places to each of n_to others, of which the first lies `shift` places further."""
+        key = axis, shift, n_from, n_to
+        if key not in self.known:
+            if len(self.known) >= 4096:
+                self.known.clear()
+            self.known[key] = self.costs[axis][np.abs(np.arange(shift, shift + n_to) - np.arange(n_from)[:, None])][:, :, None]
+        return self.known[key]
+
+
+def spread(f: np.ndarray, corner: Sequence[int], low: Sequence[int], high: Sequence[int], ways: Ways) -> np.ndarray:
+    """Least of f plus the cost of the way, for all places of the box low..high; f starts at the corner. Costs are added in the
+    order of the axes, so sums of squares are rounded as SQL rounds them."""
+    for axis, (c, p, q) in enumerate(zip(corner, low, high, strict=True)):
+        n, *rest = f.shape  # the axis comes first, and goes last when it is done
+        way = ways.table(axis, int(p - c), n, int(q - p))
+        f = f.reshape(n, 1, -1)
+        if way.size * f.shape[2] <= AT_ONCE:
+            out = (f + way).min(0)
         else:
-            out = np.full(shape, np.inf)
-            for k in range(f.shape[axis]):
-                np.minimum(out, np.take(f, [k], axis) + way[:, k].reshape(-1, *[1] * (2 - axis)), out=out)
-            f = out
+            out = np.full((way.shape[1], f.shape[2]), np.inf)
+            for k in range(n):
+                np.minimum(out, f[k] + way[k], out=out)
+        f = out.reshape(-1, *rest).transpose(1, 2, 0)
     return f
 
 
-def _eroded(there: np.ndarray) -> np.ndarray:
-    """Places all of whose neighbours, edges and corners included, are there."""
-    for axis in range(3):
+def within(distance: float, size: float) -> int:
+    """Places along an axis that a distance reaches, as distances are rounded."""
+    k = math.ceil(distance / size)
+    return k if math.sqrt((k * size) * (k * size)) <= distance or not k else k - 1
+
+
+def tiles(low, high, size: int):
+    """A row for each tile along an axis that low..high meets."""
+    return F.explode(F.sequence(F.floor(low / size).cast("int"), F.floor(high / size).cast("int")))
+
+
+def dealt(voxels: DataFrame, pads: Sequence[int], grid: Grid, sizes: Sequence[int]) -> DataFrame:
+    """tz, ty, tx, z, y, x, label: voxels of each tile and around it."""
+    out = voxels.select(*AXES, F.col("label").cast("long").alias("label"))
+    for a, pad, n, size in zip(AXES, pads, grid.shape, sizes, strict=True):
+        at, pad = F.col(a), int(pad)
+        out = out.withColumn(f"t{a}", tiles(F.greatest(at - pad, F.lit(0)), F.greatest(F.least(at + pad, F.lit(n - 1)), at), size))
+    return out
+
+
+def by_tile(one: DataFrame, two: DataFrame, grid: Grid, sizes: Sequence[int], run, schema: str) -> DataFrame:
+    """run(tile, rows of one, rows of two) for each tile. Rows are dealt by number, which adaptive execution leaves alone: those
+    of a task are few bytes and much work."""
+    where = [f"t{a}" for a in AXES]
+    tasks = min(TASKS, 2 * math.prod(-(-n // size) for n, size in zip(grid.shape, sizes, strict=True)))
+    return one.repartition(tasks, *where).groupBy(*where).cogroup(two.repartition(tasks, *where).groupBy(*where)).applyInArrow(run, schema)
+
+
+def eroded(there: np.ndarray, axes: Sequence[int] = (0, 1, 2), label: np.ndarray | None = None) -> np.ndarray:
+    """Places all of whose neighbours along the axes, edges and corners included, are there; with labels, of their own label."""
+    for axis in axes:
         s = np.moveaxis(there, axis, 0)
         out = np.zeros_like(s)
         out[1:-1] = s[1:-1] & s[:-2] & s[2:]
+        if label is not None:
+            k = np.moveaxis(label, axis, 0)
+            out[1:-1] &= (k[1:-1] == k[:-2]) & (k[1:-1] == k[2:])
         there = np.moveaxis(out, 0, axis)
     return there
 
@@ -67,7 +116,7 @@ class _Tile:
         there[tuple(at.T)] = True
         order = np.argsort(label, kind="stable")
         self.at, self.label = at[order], label[order]
-        self.skin = ~_eroded(there)[tuple(self.at.T)]
+        self.skin = ~eroded(there)[tuple(self.at.T)]
         names, starts = np.unique(self.label, return_index=True)
         self.rows = dict(zip(names.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(label)], strict=True), strict=True))
         # labels of the tile and its edge, 0 where there is no voxel
@@ -105,7 +154,7 @@ class _Tile:
         new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         return {(int(a[i]), int(b[i])): np.unique(n[i:j]) for i, j in zip(new, [*new[1:], len(n)], strict=True)}
 
-    def field(self, cell: int, low: np.ndarray, high: np.ndarray, reach: np.ndarray, distance: float, steps: int, squares, ways) -> np.ndarray | None:
+    def field(self, cell: int, low: np.ndarray, high: np.ndarray, reach: np.ndarray, distance: float, steps: int, squares: Ways, ways: Ways) -> np.ndarray | None:
         """Distance of a box's places to the cell's part of the global surface; infinite beyond the distance, and where the
         cell is more than `steps` face steps away."""
         i, j = self.rows.get(cell, (0, 0))
@@ -147,32 +196,24 @@ def parts(voxels: DataFrame, pairs: DataFrame, grid: Grid, *, distance: float, t
     """
     size, kept = TILE, KEPT
     steps = math.ceil(distance / min(grid.sizes))
-    rim = np.array([math.ceil(threshold / s) for s in grid.sizes])
+    rim = np.array([within(threshold, s) for s in grid.sizes])
     edge = np.maximum(rim, 1)
-    reach = np.array([max(math.ceil(distance / s), steps) for s in grid.sizes])
+    reach = np.array([max(within(distance, s), steps) for s in grid.sizes])
     pads = edge + reach + 1  # one more, to tell surfaces
     span = int(max(2 * pads + size)) + 1
-    squares = [np.array([(k * s) * (k * s) for k in range(span)]) for s in grid.sizes]
-    ways = [np.arange(span, dtype=float)] * 3
-
-    def tiles(low, high):
-        return F.explode(F.sequence(F.floor(low / size).cast("int"), F.floor(high / size).cast("int")))
+    tables = [np.array([(k * s) * (k * s) for k in range(span)]) for s in grid.sizes], [np.arange(span, dtype=float)] * 3
 
-    around = voxels.select(*AXES, F.col("label").cast("long").alias("label"))
-    for a, pad, n in zip(AXES, pads.tolist(), grid.shape, strict=True):
-        around = around.withColumn(f"t{a}", tiles(F.greatest(F.col(a) - pad, F.lit(0)), F.greatest(F.least(F.col(a) + pad, F.lit(n - 1)), F.col(a))))
-    halo = halo_boxes(boxes(voxels), halo_distance, grid)
+    around = dealt(voxels, pads, grid, [size] * 3)
+    halo = materialised(halo_boxes(boxes(voxels), halo_distance, grid), "halo")
     two = pairs.select("pair_id", "cell_a_id", "cell_b_id").filter("cell_a_id <> cell_b_id")
     for end in "ab":
         two = two.join(halo.select(F.col("label").alias(f"cell_{end}_id"), *(F.col(c).alias(f"{end}_{c}") for c in BOX)), f"cell_{end}_id")
     for a, pad, n in zip(AXES, edge.tolist(), grid.shape, strict=True):
         low, high = F.greatest(F.greatest(f"a_{a}0", f"b_{a}0") - pad, F.lit(0)), F.least(F.least(f"a_{a}1", f"b_{a}1") + pad, F.lit(n)) - 1
-        two = two.filter(low <= high).withColumn(f"t{a}", tiles(low, high))
-    where = [f"t{a}" for a in AXES]
-    tasks = min(TASKS, 2 * math.prod(-(-n // size) for n in grid.shape))
-
+        two = two.filter(low <= high).withColumn(f"t{a}", tiles(low, high, size))
     def run(key, x: pa.Table, y: pa.Table) -> pa.Table:
         tile = np.array([k.as_py() for k in key])
+        squares, ways = map(Ways, tables)
         lists: dict[str, list] = {c: [] for c in LISTS}
         counts: dict[str, list] = {c: [] for c in COUNTS}
         ids: list[int | None] = []
@@ -231,7 +272,7 @@ def parts(voxels: DataFrame, pairs: DataFrame, grid: Grid, *, distance: float, t
             if not n_field and not n_rim and not n_met:
                 continue
             both = len(np.intersect1d(new["rim"], new["met"], assume_unique=True)) if n_rim and n_met else 0
-            for c in ("gap", "rim", "met"):
+            for c in (c for c in ("gap", "rim", "met") if len(new[c])):
                 held[new[c]] = np.maximum(held[new[c]], pair)
             ids.append(pair)
             for c, v in zip(COUNTS, (n_gap, n_field, sum_d, max_d, n_rim, n_met, n_gap + n_rim + n_met - both), strict=True):
@@ -251,8 +292,7 @@ def parts(voxels: DataFrame, pairs: DataFrame, grid: Grid, *, distance: float, t
                 lists[c].append(own[c])
         return _table(tile, ids, counts, lists)
 
-    # by number, which adaptive execution leaves alone: the rows of a task are few bytes and much work
-    return around.repartition(tasks, *where).groupBy(*where).cogroup(two.repartition(tasks, *where).groupBy(*where)).applyInArrow(run, PARTS)
+    return by_tile(around, two, grid, [size] * 3, run, PARTS)
 
 
 def places(found: DataFrame, numbers: str, *others: str, size: int) -> DataFrame:

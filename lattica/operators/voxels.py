@@ -2,6 +2,7 @@
 
 Face neighbours and erosion are window functions along the lines of the grid: each axis costs one shuffle of the voxels
 by the line they are on, a line holds at most one row for each place along the axis, and nothing is multiplied by offsets.
+Touching labels are found in arrays of tiles.
 An image is a volume with z = 0 throughout.
 """
 
@@ -9,12 +10,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.sources.tables import Grid
 
 AXES = ("z", "y", "x")
+#: Places along a tile, of a volume and of an image.
+TILE, PLANE_TILE = 64, 256
 
 
 def boxes(voxels: DataFrame) -> DataFrame:
@@ -80,13 +85,30 @@ def contacts(voxels: DataFrame, *, planar: bool = False) -> DataFrame:
 
 
 def touching(voxels: DataFrame, *, planar: bool = False) -> DataFrame:
-    """cell_id_a < cell_id_b of labels that share a face."""
-    out = None
-    for axis in AXES[1:] if planar else AXES:
-        side = voxels.select("label", _beside(axis, [], F.col("label"), 1, F.lit(None)).alias("_o")).filter("_o <> label")
-        side = side.select(F.least("label", "_o").alias("cell_id_a"), F.greatest("label", "_o").alias("cell_id_b"))
-        out = side if out is None else out.union(side)
-    return out.distinct()
+    """cell_id_a < cell_id_b of labels that share a face: found by tile, each with one more plane on its far sides."""
+    size = PLANE_TILE if planar else TILE
+
+    def run(t: pa.Table) -> pa.Table:
+        at = np.stack([t[a].to_numpy() for a in AXES], 1).astype(np.int64)
+        at -= at.min(0)
+        label, there = np.zeros(at.max(0) + 1, np.int64), np.zeros(at.max(0) + 1, bool)
+        label[tuple(at.T)], there[tuple(at.T)] = t["label"].to_numpy(), True
+        found = []
+        for axis in (1, 2) if planar else (0, 1, 2):
+            k, is_k = (np.moveaxis(m, axis, 0) for m in (label, there))
+            a, b = k[:-1], k[1:]
+            hit = (a != b) & is_k[:-1] & is_k[1:]
+            found.append(np.stack([np.minimum(a[hit], b[hit]), np.maximum(a[hit], b[hit])], 1))
+        pairs = np.concatenate(found)
+        pairs = pairs[np.lexsort(pairs.T)]
+        pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(1)][: len(pairs)]]
+        return pa.table({"cell_id_a": pairs[:, 0].copy(), "cell_id_b": pairs[:, 1].copy()})
+
+    axes = AXES[1:] if planar else AXES
+    near = voxels.select(*AXES, F.col("label").cast("long").alias("label"))
+    for a in axes:
+        near = near.withColumn(f"t{a}", F.explode(F.sequence(F.floor((F.col(a) - 1) / size).cast("int"), F.floor(F.col(a) / size).cast("int"))))
+    return near.groupBy(*(f"t{a}" for a in axes)).applyInArrow(run, "cell_id_a long, cell_id_b long").distinct()
 
 
 def downsampled(voxels: DataFrame, level: int) -> DataFrame:

@@ -33,9 +33,30 @@ def _vox(spark: SparkSession, d: str) -> tuple[DataFrame, Grid]:
     return v.select("z", "y", "x", F.col("label").cast("long").alias("label")), grid
 
 
-def _edges(spark: SparkSession, d: str, mode: str = "exact") -> DataFrame:
+def _written(spark: SparkSession, d: str) -> tuple[DataFrame, Grid]:
+    """The voxels written once, for queries that look at them many times."""
     v, grid = _vox(spark, d)
-    return materialised(neighbors.find_neighbors(v, scene_cells(spark, d), grid, max_distance_um=NEAR, prefilter_um=PREFILTER, mode=mode), "edges")
+    return materialised(v, "voxels"), grid
+
+
+def _cells(spark: SparkSession, d: str, v: DataFrame | None = None) -> DataFrame:
+    return materialised(scene_cells(spark, d, v), "cells")
+
+
+def _found(v: DataFrame, grid: Grid, cells: DataFrame, mode: str) -> DataFrame:
+    return materialised(neighbors.find_neighbors(v, cells, grid, max_distance_um=NEAR, prefilter_um=PREFILTER, mode=mode), "edges")
+
+
+def _edges(spark: SparkSession, d: str, mode: str = "exact") -> DataFrame:
+    v, grid = _written(spark, d)
+    return _found(v, grid, _cells(spark, d, v), mode)
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Cells and their edges."""
+    v, grid = _written(spark, d)
+    cells = _cells(spark, d, v)
+    return cells, _found(v, grid, cells, "exact")
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -44,8 +65,9 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _volumes(spark: SparkSession, d: str) -> volumes.Volumes:
-    v, grid = _vox(spark, d)
-    return volumes.Volumes(v, _pairs(spark, d), grid, max_distance_um=FAR, intracellular_threshold_um=RIM, halo_distance_um=NEAR)
+    v, grid = _written(spark, d)
+    pairs = metadata.neighbor_pairs(_found(v, grid, _cells(spark, d, v), "boxes"))
+    return volumes.Volumes(v, pairs, grid, max_distance_um=FAR, intracellular_threshold_um=RIM, halo_distance_um=NEAR)
 
 
 def _channels(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +121,7 @@ def touching_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.radius_pairs(scene_cells(spark, d), PREFILTER, (0.56, 0.28, 0.28)).select("cell_id_a", "cell_id_b")
+    return spatial.radius_pairs(_cells(spark, d), PREFILTER, (0.56, 0.28, 0.28)).select("cell_id_a", "cell_id_b")
 
 
 def radius_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -107,13 +129,13 @@ def radius_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_pairs_exact(spark: SparkSession, d: str) -> DataFrame:
-    v, grid = _vox(spark, d)
+    v, grid = _written(spark, d)
     candidates = neighbors.unlike(candidate_pairs(spark, d), voxels.touching(v))
     return _rounded(neighbors.near_by_surface(v, candidates, NEAR, grid))
 
 
 def near_pairs_parity(spark: SparkSession, d: str) -> DataFrame:
-    v, grid = _vox(spark, d)
+    v, grid = _written(spark, d)
     candidates = neighbors.unlike(candidate_pairs(spark, d), voxels.touching(v))
     return neighbors.near_by_boxes(v, candidates, NEAR, grid)
 
@@ -127,8 +149,8 @@ def neighbor_edges_parity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neighbors_touching_only(spark: SparkSession, d: str) -> DataFrame:
-    v, grid = _vox(spark, d)
-    return neighbors.find_neighbors(v, scene_cells(spark, d), grid, max_distance_um=0.0, prefilter_um=PREFILTER).drop("surface_distance_um")
+    v, grid = _written(spark, d)
+    return neighbors.find_neighbors(v, _cells(spark, d, v), grid, max_distance_um=0.0, prefilter_um=PREFILTER).drop("surface_distance_um")
 
 
 def renumbered(spark: SparkSession, d: str) -> DataFrame:
@@ -141,23 +163,23 @@ def type_pair_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cell_connectivity(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(graph.connectivity(scene_cells(spark, d), _edges(spark, d)))
+    return _rounded(graph.connectivity(*_graph(spark, d)))
 
 
 def graph_totals(spark: SparkSession, d: str) -> DataFrame:
-    return graph.totals(scene_cells(spark, d), _edges(spark, d))
+    return graph.totals(*_graph(spark, d))
 
 
 def export_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return graph.export_metadata(scene_cells(spark, d), _edges(spark, d))
+    return graph.export_metadata(*_graph(spark, d))
 
 
 def top_connected(spark: SparkSession, d: str) -> DataFrame:
-    return graph.top_connected(scene_cells(spark, d), _edges(spark, d))
+    return graph.top_connected(*_graph(spark, d))
 
 
 def spatial_analysis(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(graph.spatial_analysis(scene_cells(spark, d), _edges(spark, d)))
+    return _rounded(graph.spatial_analysis(*_graph(spark, d)))
 
 
 def volume_components(spark: SparkSession, d: str) -> DataFrame:
@@ -174,7 +196,7 @@ def volume_table_components(spark: SparkSession, d: str) -> DataFrame:
 
 def cell_only_volumes(spark: SparkSession, d: str) -> DataFrame:
     run = _volumes(spark, d)
-    return _rounded(volumes.cell_only_volumes(run.cell_only, run.grid, scene_cells(spark, d)))
+    return _rounded(volumes.cell_only_volumes(run.cell_only, run.grid, _cells(spark, d, run.voxels)))
 
 
 def resume_remaining(spark: SparkSession, d: str) -> DataFrame:

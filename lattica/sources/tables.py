@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Seeds of a task that makes voxels of them, and tasks at most: a small file is one task, whatever is made of it.
-SEEDS, TASKS = 250, 512
+#: Seeds of a task that makes voxels or pixels of them, and tasks at most: a small file is one task, whatever is made of it.
+SEEDS, PLANE_SEEDS, TASKS = 250, 2000, 512
 
 
 @dataclass(frozen=True)
@@ -76,9 +76,10 @@ def scene(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
     return out, Grid(6 * g, 6 * g, 6 * g)
 
 
-def scene_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cells(cell_id, cell_type, centroid_x, centroid_y, centroid_z) of the scene; centroids in voxels."""
-    voxels, _ = scene(spark, sf_dir)
+def scene_cells(spark: SparkSession, sf_dir: str, voxels: DataFrame | None = None) -> DataFrame:
+    """cells(cell_id, cell_type, centroid_x, centroid_y, centroid_z) of the scene, whose voxels may be given; centroids in voxels."""
+    if voxels is None:
+        voxels, _ = scene(spark, sf_dir)
     middle = voxels.groupBy("label").agg(F.avg("x").alias("centroid_x"), F.avg("y").alias("centroid_y"), F.avg("z").alias("centroid_z"))
     cells, _ = seeds(spark, sf_dir)
     return cells.select("cell_id", "cell_type").join(middle, F.col("cell_id") == F.col("label")).drop("label")
@@ -89,8 +90,8 @@ def plane_seeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     supplier = table(spark, sf_dir, "supplier")
     n = supplier.count()
     g = math.ceil(round(n**0.5, 9) - 1e-9)
-    if n > SEEDS:
-        supplier = supplier.repartition(min(TASKS, -(-n // SEEDS)), "s_suppkey")
+    if n > PLANE_SEEDS:
+        supplier = supplier.repartition(min(TASKS, -(-n // PLANE_SEEDS)), "s_suppkey")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     typed = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
     k, n = F.col("s_suppkey"), F.col("s_nationkey")

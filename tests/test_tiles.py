@@ -7,7 +7,7 @@ from operator import add
 
 import pytest
 
-from lattica.operators import gaps, groups, volumes
+from lattica.operators import gaps, groups, neighbors, volumes, voxels
 from lattica.sources.tables import Grid, scene
 
 SIZES = (0.56, 0.28, 0.28)
@@ -102,3 +102,51 @@ def test_components_are_not_one_call_a_pair(spark):
 def test_scene_is_made_in_many_tasks(spark):
     v, _ = scene(spark, "/root/testdata/sf0.1")
     assert v.rdd.getNumPartitions() > 1
+
+
+@pytest.mark.parametrize("tile, planar", [(4, False), (64, False), (4, True)])
+def test_neighbours_against_search(spark, monkeypatch, tile, planar):
+    for name in ("TILE", "PLANE_TILE"):
+        monkeypatch.setattr(neighbors, name, tile)
+        monkeypatch.setattr(voxels, name, tile)
+    side, far = 13, 0.7
+    at = blobs(tile + 1, n=7)
+    if planar:
+        at = {(0, y, x): c for (z, y, x), c in at.items() if z == 5 or at.get((5, y, x)) is None}
+    sizes = (1.0, 0.2, 0.2) if planar else SIZES
+    grid = Grid(1 if planar else side, side, side, *sizes)
+    beside = lambda p, d: at.get(tuple(map(sum, zip(p, d))))
+    faces = [d for d in OFFSETS if sum(map(abs, d)) == 1 and not (planar and d[0])]
+    plane = [d for d in OFFSETS if not d[0]]
+    own = {p for p in at if any(beside(p, d) != at[p] for d in (plane if planar else faces))}
+    other = {p for p in at if any(beside(p, d) is None for d in plane)} if planar else own
+    skin = {p for p in at if any(beside(p, d) is None for d in OFFSETS)}
+    touch = {(min(at[p], o), max(at[p], o)) for p in at for d in faces if (o := beside(p, d)) not in (None, at[p])}
+    v = spark.createDataFrame([(*p, c) for p, c in at.items()], "z int, y int, x int, label long")
+    got = [tuple(r) for r in voxels.touching(v, planar=planar).collect()]
+    assert len(got) == len(set(got)) and set(got) == touch and touch
+    pairs = [(a, b) for a, b in itertools.permutations(sorted(set(at.values())), 2)]
+    candidates = spark.createDataFrame(pairs, "cell_id_a long, cell_id_b long")
+    want = {}
+    for a, b in pairs:
+        d = min((near(p, [q for q in own if at[q] == a], sizes) for p in other if at[p] == b), default=math.inf)
+        if d <= far:
+            want[a, b] = d
+    assert len(want) > 3
+    assert {(r.cell_id_a, r.cell_id_b): r.surface_distance_um for r in neighbors.near_by_surface(v, candidates, far, grid, planar=planar).collect()} == want
+    pad = [0 if n == 1 else math.ceil(far / s) for n, s in zip(grid.shape, sizes)]
+    reached = set()
+    for a, b in pairs:
+        own_a = [p for p in at if at[p] == a]
+        box = [(min(p[k] for p in own_a) - pad[k], max(p[k] for p in own_a) + pad[k]) for k in range(3)]
+        if any(at[p] == a for p in skin) and any(at[p] == b and all(lo <= k <= hi for k, (lo, hi) in zip(p, box)) for p in skin):
+            reached.add((a, b))
+    got = [tuple(r) for r in neighbors.near_by_boxes(v, candidates, far, grid).collect()]
+    assert len(got) == len(set(got)) and set(got) == reached
+
+
+def test_reach_is_as_distances_are_rounded():
+    for size in (0.56, 0.28, 0.1, 0.3, 1 / 3):
+        for distance in (0.0, 0.28, 0.3, 0.9, 1.0, 3.0, size, 7 * size):
+            want = max(k for k in range(50) if math.sqrt((k * size) * (k * size)) <= distance)
+            assert gaps.within(distance, size) == want
